@@ -33,15 +33,15 @@ RULES = (
     r"""
 WITH w AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS t, """
     + _WORDS.format("coalesce(text, '')")
-    + r""" AS w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+    + r""" AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM d) GROUP BY doc_id),
-c AS MATERIALIZED (SELECT w.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+c AS MATERIALIZED (SELECT w.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(t) - length(regexp_replace(t, '"""
     + _SIGNS
     + r"""', '', 'g')) AS n_symbols, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-  CASE WHEN len(w) < 2 THEN 0 ELSE len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i-1])) END AS n_echoes FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+  CASE WHEN len(w) < 2 THEN 0 ELSE len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i-1])) END AS n_echoes FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 m AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS symbols, CASE WHEN word_chars > 0 THEN n_upper * 1000 // word_chars ELSE 0 END AS upper,
   CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeats,
