@@ -176,7 +176,7 @@ def time_scales(spark, d):
 _LEAPS = "WITH l AS (SELECT * FROM (VALUES " + ", ".join(f"(TIMESTAMP '{day}', {n})" for day, n in timescales.LEAPS) + ") AS l(since, n))"
 
 
-@query(_LEAPS + " SELECT o_orderkey, CAST((epoch_us(o_orderdate) - 946684800000000 - 43135816000) * 1000 + ((SELECT max(n) FROM l WHERE since <= o_orderdate) - 32) * 1000000000 AS BIGINT) AS tt2000, epoch_us(o_orderdate) AS back_us FROM orders")
+@query(_LEAPS + " SELECT o_orderkey, CAST((epoch_us(o_orderdate) - 946684800000000 - 43135816000) * 1000 + ((SELECT max(n) FROM l WHERE since <= o_orderdate) - 32)::BIGINT * 1000000000 AS BIGINT) AS tt2000, epoch_us(o_orderdate) AS back_us FROM orders")
 def tt2000_leap(spark, d):
     tt = timescales.tt2000(F.col("o_orderdate"))
     return _table(spark, d, "orders").select("o_orderkey", tt.alias("tt2000"), F.unix_micros(timescales.from_tt2000(tt)).alias("back_us"))
