@@ -35,12 +35,15 @@ def from_us2000(us: Column) -> Column:
     return F.timestamp_micros(us + US_1970_2000)
 
 
+def _us(day: str) -> int:
+    return int(datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp()) * 1_000_000 - US_1970_2000
+
+
 def leap_seconds(us: Column, table=LEAPS) -> Column:
     """TAI minus UTC at microseconds since 2000: one expression, newest entry first; 10 before the table."""
     out = None
     for day, n in reversed(table):
-        at = int(datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp()) * 1_000_000 - US_1970_2000
-        out = F.when(us >= at, n) if out is None else out.when(us >= at, n)
+        out = F.when(us >= _us(day), n) if out is None else out.when(us >= _us(day), n)
     return out.otherwise(10)
 
 
@@ -50,11 +53,13 @@ def tt2000(ts: Column) -> Column:
     return (us - TT_ZERO) * 1000 + (leap_seconds(us) - 32).cast("long") * 1_000_000_000
 
 
-def from_tt2000(ns: Column) -> Column:
+def from_tt2000(ns: Column, table=LEAPS) -> Column:
     """Timestamp of TT2000 nanoseconds; a leap second itself maps to the second after it."""
-    guess = F.floor(ns / 1000).cast("long") + TT_ZERO
-    shift = lambda us: guess - (leap_seconds(us) - 32).cast("long") * 1_000_000
-    return from_us2000(shift(shift(guess)))
+    n = None
+    for day, k in reversed(table):
+        at = (_us(day) - TT_ZERO) * 1000 + (k - 32) * 1_000_000_000
+        n = F.when(ns >= at, k) if n is None else n.when(ns >= at, k)
+    return from_us2000(((ns - F.pmod(ns, F.lit(1000))) / 1000).cast("long") + TT_ZERO - (n.otherwise(10) - 32).cast("long") * 1_000_000)
 
 
 def julian_day(ts: Column) -> Column:
