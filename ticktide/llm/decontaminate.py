@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stage
+from .common import fresh, stage
 
 SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -161,28 +162,27 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", **opt
 
     mode "documents" drops every row with a hit; "spans" keeps all rows and deletes, per hit
     span, the characters from the first hit word's start to the last one's end."""
-    text = options.get("text", "text")
-    m = mark(docs, benchmark, **options)
+    clash = [c for c in docs.columns if c.lower() in ("n_words", "hits", "items")]
+    renamed = dict(zip(clash, fresh(docs, *clash), strict=True))
+    back = {v: k for k, v in renamed.items()}
+    d = docs.withColumnsRenamed(renamed)
+    text = renamed.get(options.get("text", "text"), options.get("text", "text"))
+    m = mark(d, benchmark, **(options | {"text": text}))
     if mode == "documents":
-        return m.where(F.size("hits") == 0).select(*docs.columns)
+        return m.where(F.size("hits") == 0).select(*d.columns).withColumnsRenamed(back)
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
-    word = r"(?s)[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    names, find = d.columns, re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def cut(batches):
-        import re
-
-        find = re.compile(word.removeprefix("(?s)"))
         for b in batches:
-            at = b.schema.get_field_index(text)
-            texts, out = b.column(at).to_pylist(), []
-            for t, spans in zip(texts, b.column(b.schema.get_field_index("hits")).to_pylist(), strict=True):
+            out = []
+            for t, spans in zip(b.column(b.schema.get_field_index(text)).to_pylist(), b.column(b.schema.get_field_index("hits")).to_pylist(), strict=True):
                 if spans:
-                    where = [m.span() for m in find.finditer(t)]
+                    where = [x.span() for x in find.finditer(t)]
                     for s in reversed(spans):
                         t = t[: where[s["a"]][0]] + t[where[s["b"] - 1][1] :]
                 out.append(t)
-            keep = [c for c in b.schema.names if c in docs.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(b.schema.get_field_index(c)) for c in keep], keep)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(b.schema.get_field_index(c)) for c in names], names)
 
-    return m.select(*docs.columns, "hits").mapInArrow(cut, docs.schema)
+    return m.select(*names, "hits").mapInArrow(cut, d.schema).withColumnsRenamed(back)
