@@ -81,6 +81,14 @@ def test_one_of_each_group_stays(docs, rows):
     assert len(ids) == len(set(ids)) and {5, 10, 11, 12} <= set(ids) and not {7, 8, 17} & set(ids)
 
 
+def test_no_text_is_lost_with_null_or_shared_ids(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(None, a, None, None, 0), (1, b, None, None, 0), (1, c, None, None, 0), (1, b, None, None, 0)]
+    got = near_dedup.keep_first(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["text"] for r in got) == sorted([a, b, c])
+
+
 def test_chain_of_borderline_pairs_is_one_group(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[10 * i : 10 * i + 120]), None, None, 0) for i in range(20)]

@@ -253,13 +253,17 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate group, the one of least id (any one of rows repeating it); wordless rows all stay."""
-    row, = fresh(docs, "row")
+    """docs with one row of each near-duplicate group, the one of least id; no text is lost.
+
+    Wordless rows and rows of null id all stay, as no id names them. Of rows repeating an id and
+    its text one stays; rows that share an id but not the text stay together."""
+    row, text_hash = fresh(docs, "row", "text_hash")
     found = near_duplicates(docs, id_col, text, **options).where("kept")
-    once = found.where("n_shingles > 0").select(F.col(id_col).alias(row)).distinct()
-    words = docs[text].rlike(r"[^\x20\x09-\x0D]")
-    first = docs.where(words).join(once, docs[id_col].eqNullSafe(once[row]), "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(docs.where(~F.coalesce(words, F.lit(False))))
+    once = found.where("n_shingles > 0").select(F.col(id_col).alias(row)).where(F.col(row).isNotNull()).distinct()
+    grouped = F.coalesce(docs[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & docs[id_col].isNotNull()
+    first = docs.where(grouped).join(once, docs[id_col] == once[row], "left_semi")
+    first = first.withColumn(text_hash, F.xxhash64(text)).dropDuplicates([id_col, text_hash]).drop(text_hash)
+    return first.unionByName(docs.where(~grouped))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
