@@ -172,7 +172,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", **opt
         return m.where(F.size("hits") == 0).select(*d.columns).withColumnsRenamed(back)
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
-    names, find = d.columns, re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    names, find = d.columns, re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the words before A-Z are lower-cased
 
     def cut(batches):
         for b in batches:
