@@ -203,6 +203,23 @@ def test_pii_disguises_map_back(text, kind, span):
     assert (text.index(span), text.index(span) + len(span), kind) in found
 
 
+@pytest.mark.parametrize("text, kind, span", [("call plus 49 30 12345678", "phone", "plus 49 30 12345678"), ("anna@example . com", "email", "anna@example . com"), ("at one point two point three point four", "ip", "one point two point three point four"), ("anna at example dot\ncom", "email", "anna at example dot\ncom"), ("anna@example\tdot\tcom", "email", "anna@example\tdot\tcom"), ("call plus four nine dash three zero dash one two dash three four dash five six", "phone", "plus four nine dash three zero dash one two dash three four dash five six"), ("annı@example.com", "email", "annı@example.com")])
+def test_pii_finds_disguises_without_other_hints(text, kind, span):
+    a = text.index(span)
+    assert (a, a + len(span), kind) in pii.added(text, pii.detect(text))
+
+
+def test_pii_guards_lose_no_rewrite(monkeypatch):
+    """The guards of the transducers' passes against runs of every pass."""
+    rng = random.Random(12)
+    parts = ["plus", "Plus ", "49 30", "12345678", "anna", "@", "example", " . ", ".", " dot ", "\tdot\n", " at ", "[at]", "( DOT )", " _at_ ", "-dot-", " ", "one", " two", " three", "-four", " dash ", " point", "é", "ı", "ſ", "а", "１", "com", "x@b.co", " @ ", "\n", "{", "𝟏"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(5000)] + [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    got = [pii.deobfuscate(t).text for t in texts]
+    for guard in ("_ODD", "_SIGNED", "_SPACED"):
+        monkeypatch.setattr(pii, guard, re.compile("(?s:.)"))
+    assert got == [pii.deobfuscate(t).text for t in texts]
+
+
 def test_pii_table(spark, docs, none):
     for t in ("we met at noon", "one two three go", "see you at home. dot"):
         assert not pii.added(t, [])

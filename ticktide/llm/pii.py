@@ -97,26 +97,17 @@ _AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]|(?<=\s)(?:
 _DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]|(?<=\s)(?:_dot_|-dot-|/dot/|\*dot\*)(?=\s))\s*", re.I)
 _PLAIN = re.compile(r"(?<![^\s(<\"'])([A-Za-z0-9._%+-]+)(\s+(?:at|arroba|@)\s+|@)((?:[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto)\s+|\s+\.\s+|\.))+)([A-Za-z]{2,})(?![A-Za-z0-9])", re.I)
 _PLAIN_AT, _PLAIN_DOT = re.compile(r"\s+(?:at|arroba|@)\s+", re.I), re.compile(r"\s+(?:dot|punkt|punto|\.)\s+", re.I)
-_ODD = re.compile(r"[^\x00-\x7f\xc0-ɏ]")
-_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|\xe4t|dot|\.|punkt|punto|point)\s*[\])}>]|\s[_/*-](?:at|dot)[_/*-]\s")
-_THREE = re.compile(r"(?:{0})[ ,.-]+(?:{0})[ ,.-]+(?:{0}|dot|point|punkt|punto)".format("|".join(sorted(_NUMBER, key=len, reverse=True))))
-
-
-def hinted(text: str) -> bool:
-    """Whether anything in the text can be rewritten; without, it is its own deobfuscation."""
-    if not text.isascii() and _ODD.search(text):
-        return True
-    low = text.lower()
-    if " dot " in low or " punkt " in low or " punto " in low or " @" in low or "@ " in low:
-        return True
-    return bool(_BRACKET.search(low) or _THREE.search(low))
+# What any edit of a transducer contains, so that a text without it needs no pass: tests compare with all characters and rules.
+_ODD = re.compile("[%s！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d" % "".join(map(re.escape, [*_GONE, *_SIGN, *_LOOKALIKE])))
+_SIGNED = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät|dot|\.|punkt|punto|point)\s*[\])}>]|(?<=\s)(?:_at_|-at-|/at/|\*at\*|_dot_|-dot-|/dot/|\*dot\*)(?=\s)", re.I)
+_SPACED = re.compile(r"\s(?:dot|punkt|punto|[.@])\s", re.I)
 
 
 class Tape:
     """A text and, for each of its characters, the source span it stands for."""
 
     def __init__(self, text: str):
-        self.text, self.a, self.b = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.a, self.b = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces spans of this tape, in order; each new character stands for its whole span."""
@@ -125,10 +116,12 @@ class Tape:
         text, a, b, at = [], [], [], 0
         for s, e, new in edits:
             text += (self.text[at:s], new)
-            a += self.a[at:s] + [self.a[s] if s < e else at] * len(new)
-            b += self.b[at:s] + [self.b[e - 1] if s < e else at] * len(new)
+            a += self.a[at:s]
+            a += [self.a[s] if s < e else at] * len(new)
+            b += self.b[at:s]
+            b += [self.b[e - 1] if s < e else at] * len(new)
             at = e
-        self.text, self.a, self.b = "".join([*text, self.text[at:]]), a + self.a[at:], b + self.b[at:]
+        self.text, self.a, self.b = "".join([*text, self.text[at:]]), [*a, *self.a[at:]], [*b, *self.b[at:]]
 
 
 def _characters(t: str):
@@ -172,21 +165,21 @@ def _plain(t: str):
 def deobfuscate(text: str) -> Tape:
     """The normalised tape: look-alikes and odd digits, spelled digits, then disguised at and dot signs."""
     tape = Tape(text)
-    tape.rewrite(list(_characters(tape.text)))
+    if not text.isascii():
+        tape.rewrite(list(_characters(tape.text)))
     tape.rewrite(list(_spelled(tape.text)))
     tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
     # Bracketed signs count only in an identifier's place: between characters of one.
-    for pattern, sign in ((_AT, "@"), (_DOT, ".")):
+    for pattern, sign in ((_AT, "@"), (_DOT, ".")) if _SIGNED.search(tape.text) else ():
         t = tape.text
         tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(t) if m.start() and m.end() < len(t) and _LOCAL.match(t, m.start() - 1) and _LOCAL.match(t, m.end())])
-    tape.rewrite(list(_plain(tape.text)))
+    if _SPACED.search(tape.text):
+        tape.rewrite(list(_plain(tape.text)))
     return tape
 
 
 def added(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Source spans that only the deobfuscated text shows."""
-    if not hinted(text):
-        return []
     tape = deobfuscate(text)
     if tape.text == text:
         return []
