@@ -137,6 +137,18 @@ def test_trees_learn_held_out_urls(spark):
     assert sum((r["block_score"] >= 0.5) == r["label"] for r in got) > 95
 
 
+def test_seed_trees_are_more_than_a_hyphen_test(spark):
+    """New hosts, a hyphen or not in either label; a hyphen test would judge all bad ones without and all clean ones with it wrongly."""
+    rng, words = random.Random(99), ("zeta", "omega", "quill", "brook", "lamp", "stone")
+    rows = [(*row, "-" in row[0].split("/")[2]) for y in (0, 1) for row in ((url_filter._seed_url(rng, words, y == 1), y) for _ in range(600))]
+    model = url_filter.Boosted(url_filter.seeds(spark))
+    assert len({f for splits, _ in model.trees for f, _ in splits}) >= 5
+    got = model.judge(spark.createDataFrame(rows, "url string, label int, hyphen boolean")).collect()
+    for label, hyphen in ((0, False), (0, True), (1, False), (1, True)):
+        mine = [(r["block_score"] >= 0.5) == label for r in got if (r["label"], r["hyphen"]) == (label, hyphen)]
+        assert sum(mine) > 0.5 * len(mine)
+
+
 def test_quality_ranking(spark, none):
     rng = random.Random(2)
     rows = [(i, prose(rng, 80) if i % 3 else prose(rng, 80).upper() + "!!", None, None, 0) for i in range(300)] + [(None, None, None, None, 0), (301, "", None, None, 0)]

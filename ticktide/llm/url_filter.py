@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import product
+from random import Random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +16,36 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 MOST_RULES = 2000
 TREES, RATE, BINS, RIDGE = 10, 0.5, 32, 1.0
 
-_BAD = ("casino-royal", "free-bets", "cheap-meds", "win-big", "hot-xxx", "adult-cams", "spam-hub", "ads-serve", "click-track", "pills-4u", "bet365-bonus", "loan-fast", "lotto-win", "sex-chat", "replica-watch", "seo-links", "crypto-doubler", "free-iphone", "warez-zone", "track-pixel")
-_GOOD = ("library", "weather", "gardening", "history", "recipes", "museum", "science", "news", "maps", "poetry", "parliament", "astronomy", "chess", "theatre", "railways", "botany", "school", "archive", "mathematics", "orchestra")
-_TAILS = ("/en/12", "/de/451/", "/fr/9.html", "/es/77?utm_source=feed", "/en/680?page=2&ref=x", "/a/b/c#top")
-_SHAPES = (("http://", "com"), ("https://www.", "org"), ("https://blog.", "net"))
+_BAD = ("casino", "royal", "bets", "meds", "win", "hot", "adult", "cams", "spam", "ads", "click", "pills", "bonus", "loan", "lotto", "sex", "replica", "seo", "crypto", "warez")
+_GOOD = ("library", "weather", "garden", "history", "recipes", "museum", "science", "news", "maps", "poetry", "city", "star", "chess", "theatre", "rail", "botany", "school", "archive", "maths", "music")
+#: Invented URLs of each label in the seed list.
+SEEDS = 1500
+
+
+def _seed_url(rng: Random, words: tuple[str, ...], bad: bool) -> str:
+    """One invented URL: each trait is drawn by itself, and is only likelier in one label than in the other."""
+    often = lambda p, q: rng.random() < (p if bad else q)
+    name = ("-" if often(0.5, 0.2) else "").join(rng.choice(words) for _ in range(1 + often(0.8, 0.5) + often(0.3, 0.1)))
+    if often(0.4, 0.1):
+        name += str(rng.randrange(10 ** rng.randrange(1, 5)))
+    if often(0.3, 0.05):
+        name = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(8, 20))) + "." + name
+    elif often(0.4, 0.6):
+        name = rng.choice(("www", "blog", "m")) + "." + name
+    if often(0.4, 0.6):
+        name += ".example"
+    name += "." + rng.choice(("com", "net", "org", *(("top", "xyz", "biz") if often(0.5, 0.05) else ("edu", "com", "org"))))
+    steps = ["".join(rng.choice(("en", "de", "a", "page", "item", "view", "read")) for _ in range(1 + often(0.3, 0.3))) for _ in range(rng.randrange(1, 3) + 2 * often(0.4, 0.15))]
+    if often(0.7, 0.6):
+        steps.append(str(rng.randrange(10 ** (rng.randrange(3, 10) if often(0.4, 0.15) else rng.randrange(1, 5)))) + rng.choice(("", "/", ".html")))
+    params = [f"{k}={rng.randrange(99)}" for k in ("page", "ref", "aff", "cid", "utm_source") if often(0.3, 0.15)]
+    return rng.choice(("http://", "https://")) + name + "/" + "/".join(steps) + ("?" + "&".join(params) if params else "")
 
 
 def seed_urls() -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) to start from: invented hosts of the usual bad and good sorts, in all shapes alike."""
-    return [(f"{a}{h}.example.{z}{t}", y) for y, hosts in ((1, _BAD), (0, _GOOD)) for h, (a, z), t in product(hosts, _SHAPES, _TAILS)]
+    """Labelled URLs (1: block) to start from: invented, the same at every call, and told apart by no single feature."""
+    rng = Random(7)
+    return [(_seed_url(rng, words, y == 1), y) for _ in range(SEEDS) for y, words in ((1, _BAD), (0, _GOOD))]
 
 
 def seeds(spark: SparkSession) -> DataFrame:
