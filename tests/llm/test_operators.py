@@ -193,6 +193,26 @@ def test_wrapper_is_a_union_free_expression():
     assert "(<li><a>" in e and ")+" in e and "|" not in e
 
 
+def test_long_pages_are_aligned():
+    """Six pages of 700 different tags: a text that only two of them share is no template."""
+    names = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(650)]
+    pages = ["<article><h2>" + ("shared" if i < 2 else f"own {i}") + "</h2><h3>all</h3>" + "".join(f'<p class="{n}">{n} {i}' for n in names) + "</article>" for i in range(6)]
+    found = html_text.infer([html_text.compact(p) for p in pages])
+    assert found["fixed"] == [html_text.xxhash.xxh3_64_hexdigest("all")]
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(14)
+    for _ in range(300):
+        x, y = ([["t", rng.choice("abcdef")] for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        if html_text.fold(x) == x and html_text.fold(y) == y and not any(a == b for a, b in zip(x, x[1:])):
+            assert sum(n[0] != "?" for n in html_text.align(x, y)) == best[0][0]
+
+
 RX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
