@@ -193,6 +193,24 @@ def test_wrapper_is_a_union_free_expression():
     assert "(<li><a>" in e and ")+" in e and "|" not in e
 
 
+def test_html_statistics_are_of_all_pages(spark):
+    """A heading that the aligned pages share stays, as others lack it; a layout that they lack keeps its article."""
+    body = lambda i, head: f"<article><h1>Title {i}</h1><h2>{head}</h2><p>{'Words of ' + str(i) + ' here. '}</p><div>Share this</div></article>"
+    first = sorted(range(60), key=lambda i: html_text.xxhash.xxh3_64_intdigest(body(i, "Background")) >> 1)
+    limit = html_text.xxhash.xxh3_64_intdigest(body(first[7], "Background")) >> 1
+    others = [i for i in range(60, 400) if html_text.xxhash.xxh3_64_intdigest(body(i, f"Own {i}")) >> 1 > limit][:30]
+    rows = [(i, "http://a.com/", body(i, "Background")) for i in first] + [(i, "http://a.com/", body(i, f"Own {i}")) for i in others]
+    k = next(k for k in range(1000) if html_text.xxhash.xxh3_64_intdigest(odd(k)) >> 1 > limit)
+    got = {r["page_id"]: r["text"] for r in html_text.op4(spark.createDataFrame([*rows, (1000, "http://a.com/", odd(k))], "page_id long, url string, html string").repartition(3)).collect()}
+    assert "Background" in got[first[0]] and "Words of" in got[first[0]]
+    assert "Long story" in got.pop(1000)
+    assert all("Share this" not in t and "Title" in t for t in got.values())
+
+
+def odd(k):
+    return f"<article>Teaser {k}</article><div class=story>" + "Long story. " * 50 + "</div>"
+
+
 def test_long_pages_are_aligned():
     """Six pages of 700 different tags: a text that only two of them share is no template."""
     names = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(650)]
