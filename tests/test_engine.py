@@ -159,3 +159,12 @@ def test_query_equals_its_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_union_packets_takes_every_kind(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"kind {i % 150:03d}", float(i)) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["union_packets"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == set(con.execute(catalog.ORACLE_SQL["union_packets"]).fetchall()) and len(got) == 151
