@@ -26,7 +26,8 @@ SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, n.doc_id = compo
 
 _SIGNS = "[#*$%&|<>]"
 _BUCKET = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END"
-_METRICS = {"symbols": 10, "upper": 15, "dup_lines": 100, "repeats": 45, "echoes": 30}
+#: Metric: part, whole, units of slack.
+_METRICS = {"symbols": ("n_symbols", "word_chars", 2), "upper": ("n_upper", "word_chars", 2), "dup_lines": ("n_dup_lines", "n_lines", 2), "repeats": ("n_repeat_words", "n_words", 16), "echoes": ("n_echoes", "n_words", 2)}
 
 #: Metrics and verdicts; ends in the relation judged.
 RULES = (
@@ -52,19 +53,18 @@ v AS (SELECT lang, source, metric, v FROM ("""
 b AS MATERIALIZED (SELECT lang, source, metric, """
     + _BUCKET
     + r""" AS v FROM v),
-"""
-    + ",\n".join(
-        f"q{k} AS (SELECT {keys}metric, any_value(t) AS t, min(v) FILTER (100 * u >= 25 * t) AS low, min(v) FILTER (100 * u >= 50 * t) AS mid FROM (SELECT {keys}metric, v, count(*) OVER (PARTITION BY {keys}metric) AS t, count(*) OVER (PARTITION BY {keys}metric ORDER BY v) AS u FROM b) GROUP BY {keys}metric)"
-        for k, keys in enumerate(("lang, source, ", "lang, ", ""))
-    )
-    + r""",
-z AS (SELECT q0.lang, q0.source, q0.metric, CASE WHEN q0.t >= 200 THEN q0.low WHEN q1.t >= 200 THEN q1.low ELSE q2.low END AS low, CASE WHEN q0.t >= 200 THEN q0.mid WHEN q1.t >= 200 THEN q1.mid ELSE q2.mid END AS mid
-  FROM q0 JOIN q1 ON q1.lang IS NOT DISTINCT FROM q0.lang AND q1.metric = q0.metric JOIN q2 ON q2.metric = q0.metric),
+u AS (SELECT *, count(*) OVER (PARTITION BY lang, source, metric) AS t, count(*) OVER (PARTITION BY lang, source, metric ORDER BY v) AS k FROM b),
+h AS (SELECT *, min(v) FILTER (2 * k >= t) OVER (PARTITION BY lang, source, metric) AS mid FROM u),
+g0 AS MATERIALIZED (SELECT lang, source, metric, any_value(t)::BIGINT AS t, (1000 * (any_value(t) * any_value(mid) + 8 * sum(greatest(v - mid, 0))))::BIGINT AS a FROM h GROUP BY lang, source, metric),
+g1 AS (SELECT lang, metric, sum(t)::BIGINT AS t, sum(a)::BIGINT AS a FROM g0 GROUP BY lang, metric),
+g2 AS (SELECT metric, sum(t)::BIGINT AS t, sum(a)::BIGINT AS a FROM g1 GROUP BY metric),
+z AS (SELECT g0.lang, g0.source, g0.metric, (g0.a + 100 * ((g1.a + 100 * (g2.a // g2.t)) // (g1.t + 100))) // (g0.t + 100) AS cut
+  FROM g0 JOIN g1 ON g1.lang IS NOT DISTINCT FROM g0.lang AND g1.metric = g0.metric JOIN g2 ON g2.metric = g0.metric),
 cut AS (SELECT lang, source, """
-    + ", ".join(f"max(mid + 6 * greatest(mid - low, {f})) FILTER (metric = '{k}') AS x_{k}" for k, f in _METRICS.items())
+    + ", ".join(f"max(cut) FILTER (metric = '{k}') AS x_{k}" for k in _METRICS)
     + r""" FROM z GROUP BY lang, source),
 judged AS MATERIALIZED (SELECT m.*, NOT base_failed AND """
-    + " AND ".join(f"coalesce({k} <= x_{k}, true)" for k in _METRICS)
+    + " AND ".join(f"coalesce(1000000 * ({a} - {slack}) <= x_{k} * {b}, true)" for k, (a, b, slack) in _METRICS.items())
     + r""" AS kept FROM m LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM m.lang AND cut.source IS NOT DISTINCT FROM m.source)
 """
 )

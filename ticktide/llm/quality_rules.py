@@ -12,12 +12,13 @@ from .common import SPACE_CLASS, stage, table
 
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
-#: A group of fewer documents takes its language's sketch, and that failing, the corpus's.
-LEAST_DOCS = 200
-#: A metric's threshold is its median plus SPREADS times the distance of median and lower quartile, or this floor if larger.
-SPREADS = 6
-FLOORS = {"symbols": 10, "upper": 15, "dup_lines": 100, "repeats": 45, "echoes": 30}
-METRICS = tuple(FLOORS)
+#: A threshold is the group's median plus SPREADS times its mean distance above the median.
+SPREADS = 8
+#: Documents that a group's language counts for in its threshold, and the corpus in the language's.
+SHRINK = 100
+#: Units over the threshold that mean nothing in any document (characters, lines or words; one pair of equal windows).
+SLACK = {"symbols": 2, "upper": 2, "dup_lines": 2, "repeats": 16, "echoes": 2}
+METRICS = tuple(SLACK)
 
 
 def _per(part: Column, whole: Column, scale: int = 1000) -> Column:
@@ -26,12 +27,12 @@ def _per(part: Column, whole: Column, scale: int = 1000) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the struct q of counts and metrics of text; a column already named q is replaced.
+    """docs with the struct q of counts and metrics of text; a column already named q is replaced, others may have any name.
 
     Null and empty texts count 0 everywhere. Windows are compared by 64-bit hashes, within one text."""
-    d = docs.drop("q") if "q" in docs.columns else docs
-    names = d.columns
-    d = d.withColumn("q_t", F.coalesce(F.col(text), F.lit("")))
+    kept = [f"`{c}`" for c in docs.columns if c.lower() != "q"]
+    names = ["doc"]
+    d = docs.select(F.struct(*kept).alias("doc") if kept else F.struct(F.lit(None).alias("q")).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("q_t"))
     d = d.withColumn("q_w", F.filter(F.split("q_t", SPACE_CLASS, -1), lambda w: w != ""))
     d = d.withColumn("q_l", F.filter(F.split("q_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     length = lambda c: F.char_length(c).cast("long")
@@ -52,13 +53,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("q_s", F.when(F.size("q_g") > F.size(F.array_distinct("q_g")), F.array_sort(F.transform("q_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("q_g")
     d = d.withColumn("q_p", _covered(F.col("q_s"))).drop("q_s")
     return d.select(
-        *names,
+        *([F.col("doc.*")] if kept else []),
         F.struct(
             F.col("q_n").alias("n_words"),
             F.col("q_chars").alias("word_chars"),
             F.col("q_symbols").alias("n_symbols"),
             F.col("q_dup").alias("n_dup_lines"),
             F.col("q_p").alias("n_repeat_words"),
+            F.col("q_upper").alias("n_upper"),
+            F.col("q_lines").alias("n_lines"),
+            F.col("q_e").alias("n_echoes"),
             _per(F.col("q_symbols"), F.col("q_chars")).alias("symbols"),
             _per(F.col("q_upper"), F.col("q_chars")).alias("upper"),
             _per(F.col("q_dup"), F.col("q_lines")).alias("dup_lines"),
@@ -89,25 +93,23 @@ def sketch(measured: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per language and source with a threshold per metric.
+    """One row per language and source with a threshold per metric, in millionths.
 
-    A group of fewer than LEAST_DOCS documents borrows the merged sketch of its language, or of all."""
+    From a group's sketch come its median and its spread, the mean over its documents of how far
+    they lie above the median; the threshold is median + SPREADS * spread. It is shrunk towards the
+    language's mean threshold as if that were SHRINK documents more, and the language's likewise
+    towards the corpus's, so that a small group's threshold moves smoothly as the group grows."""
     fine = sketch(measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "q").where(base_ok()), ["lang", "source"])
-    levels = [fine, fine.groupBy("lang", "metric", "value").agg(F.sum("n").alias("n")), fine.groupBy("metric", "value").agg(F.sum("n").alias("n"))]
-    cuts = []
-    for k, level in enumerate(levels):
-        keys = ["lang", "source"][: 2 - k]
-        w = Window.partitionBy(*keys, "metric")
-        at = level.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("value")))
-        q = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("value")))
-        cut = at.groupBy(*keys, "metric").agg(F.first("total").alias(f"n{k}"), q(25).alias("low"), q(50).alias("mid"))
-        floor = F.create_map(*[x for m, f in FLOORS.items() for x in (F.lit(m), F.lit(f))])[F.col("metric")]
-        cuts.append(cut.withColumn(f"cut{k}", F.col("mid") + SPREADS * F.greatest(F.col("mid") - F.col("low"), floor)).drop("low", "mid"))
-    a, b, c = cuts
-    b, c = b.withColumnsRenamed({"lang": "lang1", "metric": "metric1"}), c.withColumnRenamed("metric", "metric2")
-    joined = a.join(b, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("metric") == F.col("metric1"))).join(c, F.col("metric") == F.col("metric2"))
-    cut = F.when(F.col("n0") >= LEAST_DOCS, F.col("cut0")).when(F.col("n1") >= LEAST_DOCS, F.col("cut1")).otherwise(F.col("cut2"))
-    rows = joined.select("lang", "source", "metric", cut.alias("cut"))
+    w = Window.partitionBy("lang", "source", "metric")
+    at = fine.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("value")))
+    at = at.withColumn("mid", F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("value"))).over(w))
+    # allowed is the threshold times the documents, a whole number, so that sums over groups are exact.
+    allowed = F.first("total") * F.first("mid") + SPREADS * F.sum(F.col("n") * F.greatest(F.col("value") - F.col("mid"), F.lit(0)))
+    group = at.groupBy("lang", "source", "metric").agg(F.first("total").alias("total"), (1000 * allowed).alias("allowed"))
+    language = group.groupBy("lang", "metric").agg(F.sum("total").alias("t1"), F.sum("allowed").alias("a1"))
+    corpus = language.groupBy("metric").agg(F.sum("t1").alias("t2"), F.sum("a1").alias("a2"))
+    language = language.join(corpus, "metric").select(F.col("lang").alias("lang1"), F.col("metric").alias("metric1"), F.expr(f"(a1 + {SHRINK} * (a2 div t2)) div (t1 + {SHRINK})").alias("near"))
+    rows = group.join(language, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("metric") == F.col("metric1"))).withColumn("cut", F.expr(f"(allowed + {SHRINK} * near) div (total + {SHRINK})"))
     return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("cut"))).alias(f"max_{m}") for m in METRICS])
 
 
@@ -117,12 +119,12 @@ def base_ok() -> Column:
 
 
 def judge(measured: DataFrame, cuts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """measured with base_failed and kept; a document passes where no metric is over its group's threshold."""
+    """measured with base_failed and kept (columns of these names are replaced); no metric of a kept document is over its group's threshold by more than SLACK units."""
     cuts = cuts.select(F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), F.struct(*[f"max_{m}" for m in METRICS]).alias("cut"))
-    j = measured.join(cuts, measured[lang].eqNullSafe(cuts["cut_lang"]) & measured[source].eqNullSafe(cuts["cut_source"]), "left").drop("cut_lang", "cut_source")
-    within = F.lit(True)
-    for m in METRICS:
-        within = within & F.coalesce(F.col(f"q.{m}") <= F.col(f"cut.max_{m}"), F.lit(True))
+    j = measured.drop("base_failed", "kept").join(cuts, measured[lang].eqNullSafe(cuts["cut_lang"]) & measured[source].eqNullSafe(cuts["cut_source"]), "left").drop("cut_lang", "cut_source")
+    within, counts = F.lit(True), {"symbols": ("n_symbols", "word_chars"), "upper": ("n_upper", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "echoes": ("n_echoes", "n_words")}
+    for m, (part, whole) in counts.items():
+        within = within & F.coalesce(1_000_000 * (F.col(f"q.{part}") - SLACK[m]) <= F.col(f"cut.max_{m}") * F.col(f"q.{whole}"), F.lit(True))
     return j.withColumn("base_failed", ~base_ok()).withColumn("kept", base_ok() & within).drop("cut")
 
 
