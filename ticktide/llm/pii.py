@@ -88,19 +88,23 @@ _NUMBER = {w: str(i) for words in (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 ) for i, w in enumerate(words.split())} | {"oh": "0"}
-#: Spelled digits in a row from which they are read as a number.
+#: Spelled digits in a row from which they are read as a number where no figure or plus sign is beside them.
 SPELLED = 4
+_BESIDE = re.compile(r"[0-9+][ .(-]{0,2}\Z")
+_AFTER = re.compile(r"[ .)-]{0,2}[0-9]")
 _WORD_RUN = re.compile(r"(?<![^\W_])(?:%s)(?:(?:[ ,.-]|, )(?:%s|dot|point|dash|hyphen|plus|punkt|punto))*(?![^\W_])" % (("|".join(sorted(_NUMBER, key=len, reverse=True)),) * 2), re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus[ -](?=[0-9])", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@|arroba|chez|ät)\s*[\])}>]|(?<=\s)(?:_at_|-at-|/at/|\*at\*)(?=\s))\s*", re.I)
 _DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]|(?<=\s)(?:_dot_|-dot-|/dot/|\*dot\*)(?=\s))\s*", re.I)
-_PLAIN = re.compile(r"(?<![^\s(<\"'])([A-Za-z0-9._%+-]+)(\s+(?:at|arroba|@)\s+|@)((?:[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto)\s+|\s+\.\s+|\.))+)([A-Za-z]{2,})(?![A-Za-z0-9])", re.I)
+_PLAIN = re.compile(r"(?<![^\s(<\"'])([A-Za-z0-9._%+-]+(?:\s+(?:dot|punkt|punto)\s+[A-Za-z0-9._%+-]+)*)(\s+(?:at|arroba|@)\s+|@)((?:[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto)\s+|\s+\.\s+|\.))+)([A-Za-z]{2,})(?![A-Za-z0-9])", re.I)
+_SPELLED_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s+(?:dot|point|punkt|punto)\s+[0-9]{1,3}){3}(?![\w.]*[0-9])", re.I)
+_IP_DOT = re.compile(r"\s+(?:dot|point|punkt|punto)\s+", re.I)
 _PLAIN_AT, _PLAIN_DOT = re.compile(r"\s+(?:at|arroba|@)\s+", re.I), re.compile(r"\s+(?:dot|punkt|punto|\.)\s+", re.I)
 # What any edit of a transducer contains, so that a text without it needs no pass: tests compare with all characters and rules.
 _ODD = re.compile("[%s！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d" % "".join(map(re.escape, [*_GONE, *_SIGN, *_LOOKALIKE])))
 _SIGNED = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|ät|dot|\.|punkt|punto|point)\s*[\])}>]|(?<=\s)(?:_at_|-at-|/at/|\*at\*|_dot_|-dot-|/dot/|\*dot\*)(?=\s)", re.I)
-_SPACED = re.compile(r"\s(?:dot|punkt|punto|[.@])\s", re.I)
+_SPACED = re.compile(r"\s(?:dot|point|punkt|punto|[.@])\s", re.I)
 
 
 class Tape:
@@ -143,7 +147,7 @@ def _characters(t: str):
 def _spelled(t: str):
     for m in _WORD_RUN.finditer(t):
         words = _WORD.findall(m[0])
-        if sum(w.lower() in _NUMBER for w in words) < SPELLED:
+        if sum(w.lower() in _NUMBER for w in words) < SPELLED and not (_BESIDE.search(t, max(0, m.start() - 3), m.start()) or _AFTER.match(t, m.end())):
             continue
         out, last = [], m.start()
         for w in _WORD.finditer(t, m.start(), m.end()):
@@ -157,7 +161,8 @@ def _plain(t: str):
     for m in _PLAIN.finditer(t):
         if not (_PLAIN_DOT.search(m[3] + m[4]) or "@" in m[2] and m[2] != "@"):
             continue
-        edits = [(m.start(2), m.end(2), "@")] if m[2] != "@" else []
+        edits = [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(t, m.start(1), m.end(1))]
+        edits += [(m.start(2), m.end(2), "@")] if m[2] != "@" else []
         edits += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(t, m.start(3), m.end(4))]
         yield from edits
 
@@ -174,6 +179,7 @@ def deobfuscate(text: str) -> Tape:
         t = tape.text
         tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(t) if m.start() and m.end() < len(t) and _LOCAL.match(t, m.start() - 1) and _LOCAL.match(t, m.end())])
     if _SPACED.search(tape.text):
+        tape.rewrite([(d.start(), d.end(), ".") for m in _SPELLED_IP.finditer(tape.text) for d in _IP_DOT.finditer(tape.text, m.start(), m.end())])
         tape.rewrite(list(_plain(tape.text)))
     return tape
 
