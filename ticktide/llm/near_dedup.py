@@ -197,15 +197,26 @@ def _crossed(batches, most: int):
         yield out
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, other: str, out: str) -> DataFrame:
-    """pairs with the set of the node in key as out; a node of many pairs has its set copied, so no group is large."""
+def _hot(pairs: DataFrame, key: str) -> DataFrame:
+    """Nodes of more than CHUNK pairs, and how many copies of their sets their pairs are spread over."""
     hot = pairs.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
-    hot = hot.select("hot", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(hot, pairs[key] == hot["hot"], "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("hot", "parts")
-    right = sets.select(F.col("node").alias("at"), F.col("shingles").alias(out)).join(hot, F.col("at") == F.col("hot"), "left")
-    right = right.select("at", out, F.explode(F.sequence(F.lit(0), parts - 1)).alias("on"))
-    return left.join(right, (left[key] == right["at"]) & (left["salt"] == right["on"])).drop("at", "on", "salt")
+    return hot.select("hot", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v and their sets su and sv; a node of many pairs has its set copied, so no group is large.
+
+    pairs is read several times and should be staged."""
+    parts, hots = F.coalesce("parts", F.lit(1)), {k: _hot(pairs, k) for k in "uv"}
+    for key, other in (("v", "u"), ("u", "v")):
+        hot = hots[key]
+        pairs = pairs.join(hot, pairs[key] == hot["hot"], "left").withColumn(f"{key}_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("hot", "parts")
+    for key in ("v", "u"):
+        hot = hots[key]
+        right = sets.select(F.col("node").alias("at"), F.col("shingles").alias(f"s{key}")).join(hot, F.col("at") == F.col("hot"), "left")
+        right = right.select("at", f"s{key}", F.explode(F.sequence(F.lit(0), parts - 1)).alias("on"))
+        pairs = pairs.join(right, (pairs[key] == right["at"]) & (pairs[f"{key}_part"] == right["on"])).drop("at", "on")
+    return pairs.select("u", "v", "su", "sv")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
@@ -248,8 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = stage(sets.dropDuplicates(["node"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = _with_sets(_with_sets(pairs, sets, "v", "u", "sv"), sets, "u", "v", "su").select("u", "v", "su", "sv")
-        return stage(both.mapInArrow(_confirm(percent), "u binary, v binary"), "links")
+        return stage(_with_sets(pairs, sets).mapInArrow(_confirm(percent), "u binary, v binary"), "links")
 
     links = confirm(best)
     label = components(links)
@@ -257,6 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     size = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n_all"))
     size = size.where("most.k < n_all").select("bucket", F.col("most.label").alias("big"), (F.col("n_all") - F.col("most.k")).alias("n_small"))
     held = held.select("bucket", "node", "label", "n").join(size, "bucket").join(sketch, "node").withColumn("small", F.col("label") != F.col("big"))
+    held = stage(held.drop("big"), "held")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
@@ -265,7 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     right = held.select("bucket", every("n_small").alias("i"), block("n").alias("j"), F.lit(1).alias("side"), *row)
     cross = left.unionByName(right).repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_cross(most), "u binary, v binary")
     cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = confirm(cross.join(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = confirm(stage(cross.join(tried, ["u", "v"], "left_anti"), "pairs"))
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
