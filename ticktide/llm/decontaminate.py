@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +19,14 @@ SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 #: Words in a window.
 WINDOW = 10
-#: Bytes of item text that one broadcast may hold; a larger benchmark goes through in blocks of this size.
-BROADCAST_BYTES = 32 << 20
+#: Bytes that the index of one broadcast may hold, as arrays; a larger benchmark goes through in blocks of this size.
+BROADCAST_BYTES = 128 << 20
+#: Bytes of index for a word of an item, beside its text: place, window hash, its place and item.
+WORD_BYTES = 20
+#: Word hashes remembered by a worker; forgotten when full.
+VOCAB = 300_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -31,56 +34,85 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= VOCAB:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+#: One a worker process, kept between tasks.
+_hashes = _Hashes()
+
+
 class Windows:
-    """The windows of a block of items: vocabulary, hashes by window length, items by window."""
+    """The windows of a block of items in flat arrays: words' text and places, and per length the sorted hashes with place and item.
+
+    It is built once on the driver and broadcast, so that tasks only read it; a hit by hash is
+    verified on the words themselves."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], list] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                at = self.items.setdefault(tuple(ids[i : i + n]), [])
-                if item not in at:
-                    at.append(item)
+        self.names = [item for item, _ in items]
+        per = [words_of(text) for _, text in items]
+        counts = np.array([len(w) for w in per], np.int64)
+        flat = [w for ws in per for w in ws]
+        self.text = b" ".join(flat)
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.at = np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.uint32 if len(self.text) < 1 << 31 else np.int64)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        hashes = np.fromiter((_hashes[w] for w in flat), np.uint64, len(flat))
+        lengths: dict[int, list] = {}
+        for i, n in enumerate(np.minimum(counts, window).tolist()):
+            if n:
+                lengths.setdefault(n, []).append(i)
         self.lengths = {}
-        for n in sorted({len(k) for k in self.items}):
-            keys = np.array([k for k in self.items if len(k) == n], np.uint64)
-            hashes = np.unique(self._roll(keys.ravel(), n)[::n])
+        for n, ids in lengths.items():
+            place = np.concatenate([np.arange(first[i], first[i + 1] - n + 1) for i in ids]).astype(np.uint32)
+            owner = np.repeat(np.array(ids, np.uint32), [counts[i] - n + 1 for i in ids])
+            h = self._roll(hashes, n)[place]
+            order = np.argsort(h, kind="stable")
             table = np.zeros(1 << 16, bool)
-            table[hashes >> np.uint64(48)] = True
-            self.lengths[n] = (hashes, table)
+            table[h >> np.uint64(48)] = True
+            self.lengths[n] = (h[order], place[order], owner[order], table)
 
     @staticmethod
-    def _roll(ids: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(len(ids) - n + 1, np.uint64)
-        mixed = (ids + np.uint64(1)) * _BASE
-        mixed ^= mixed >> np.uint64(29)
+    def _roll(words: np.ndarray, n: int) -> np.ndarray:
+        """A hash of every n consecutive word hashes."""
+        h = np.zeros(max(0, len(words) - n + 1), np.uint64)
         for k in range(n):
             h *= np.uint64(0xD6E8FEB86659FD93)
-            h += mixed[k : k + len(h)]
-        return h ^ (h << np.uint64(32))
+            h += words[k : k + len(h)]
+        h ^= h >> np.uint64(31)
+        return h * np.uint64(0x9E3779B97F4A7C15)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list]:
         """Hit spans of word positions, end exclusive and merged, and the items that occur."""
-        known = self.vocab.get
-        ids = np.fromiter([known(w, 0) for w in words], np.uint64, len(words))
-        spans, found = [], {}
-        for n, (hashes, table) in self.lengths.items():
-            if len(ids) < n:
+        get = _hashes.__getitem__
+        hashed = np.fromiter(map(get, words), np.uint64, len(words))
+        spans: list[tuple[int, int]] = []
+        found: dict[int, None] = {}
+        for n, (hashes, place, owner, table) in self.lengths.items():
+            if len(hashed) < n:
                 continue
-            h = self._roll(ids, n)
+            h = self._roll(hashed, n)
             at = np.flatnonzero(table[h >> np.uint64(48)])
             if not len(at):
                 continue
-            near = np.searchsorted(hashes, h[at])
-            for i in at[hashes[np.minimum(near, len(hashes) - 1)] == h[at]].tolist():
-                items = self.items.get(tuple(ids[i : i + n].tolist()))
-                if items:
+            low = np.searchsorted(hashes, h[at])
+            hit = hashes[np.minimum(low, len(hashes) - 1)] == h[at]
+            known: dict[bytes, list[int]] = {}
+            for i, k in zip(at[hit].tolist(), low[hit].tolist(), strict=True):
+                window = b" ".join(words[i : i + n])
+                if window not in known:
+                    end = int(np.searchsorted(hashes, hashes[k], "right"))
+                    known[window] = [int(owner[j]) for j in range(k, end) if self.text[self.at[place[j]] : int(self.at[int(place[j]) + n]) - 1] == window]
+                    found.update(dict.fromkeys(known[window]))
+                if known[window]:
                     spans.append((i, i + n))
-                    found.update(dict.fromkeys(items))
-        return merge(spans), list(found)
+        return merge(spans), [self.names[i] for i in found]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,18 +126,19 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, text: str, limit: int) -> int:
-    """How many blocks of at most about limit bytes the items need: 0 for none, 1 where all may be broadcast."""
-    total = benchmark.select(F.sum(F.octet_length(text))).first()[0]
+    """How many blocks of at most about limit bytes the items' index needs: 0 for none, 1 where all may be broadcast."""
+    words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = benchmark.select(F.sum(F.octet_length(text) + WORD_BYTES * words)).first()[0]
     return 0 if not total else -(-int(total) // limit)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with n_words, hits (word spans, end exclusive, merged) and items (ids that occur).
 
-    The item set is broadcast only after its bytes are summed; beyond the limit the items go in
-    hashed blocks of that size, each broadcast in turn over a staged result, so every window is
-    tried. Nulls: a null text or item has no words; a null item id is reported as an item like
-    any other and sorts first. Ties: a window of several items reports all. Repeated rows are
+    The item set is broadcast only after the bytes of its index are summed; beyond the limit the
+    items go in hashed blocks of that size, each broadcast in turn over a staged result, so every
+    window is tried. Nulls: a null text or item has no words; a null item id is reported as an item
+    like any other. Ties: a window of several items reports all. Repeated rows are
     marked each for itself; empty tables give empty or unmarked ones. A long text is scanned
     whole, in memory of its own size. Columns named n_words, hits or items are replaced."""
     ids = T.ArrayType(benchmark.schema[item_id].dataType)
@@ -116,17 +149,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     out = base
     for k in range(n):
         part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(n)) == k)
-        rows = [tuple(r) for r in part.select(item_id, item_text).where(F.col(item_text).isNotNull()).collect()]
-        held = docs.sparkSession.sparkContext.broadcast(rows)
-        out = out.mapInArrow(_marker(held, window, text, names, k > 0, to_arrow_type(ids)), schema)
+        rows = sorted((tuple(r) for r in part.select(item_id, item_text).where(F.col(item_text).isNotNull()).collect()), key=str)
+        held = docs.sparkSession.sparkContext.broadcast(Windows(rows, window))
+        out = out.mapInArrow(_marker(held, text, names, k > 0, to_arrow_type(ids)), schema)
         if k < n - 1:
             out = stage(out, "marked")
     return out
 
 
-def _marker(held, window: int, text: str, names: list[str], again: bool, kind: pa.DataType):
+def _marker(held, text: str, names: list[str], again: bool, kind: pa.DataType):
     def run(batches):
-        known = Windows(held.value, window)
+        known = held.value
         for b in batches:
             column = b.column(b.schema.get_field_index(text))
             old = b.select(["n_words", "hits", "items"]).to_pylist() if again else None
@@ -146,14 +179,10 @@ def _marker(held, window: int, text: str, names: list[str], again: bool, kind: p
     return run
 
 
-def digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document; an item of null id counts, and is the empty string in items_sha256."""
     m = mark(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    ids = F.array_sort(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit(""))))
     return m.select("doc_id", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
