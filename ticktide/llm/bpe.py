@@ -10,6 +10,7 @@ import base64
 import os
 import re
 import struct
+from functools import lru_cache
 
 TWO_SPACES = re.compile(r"\s\s")
 #: Letters and signs on whose classes all regular-expression libraries agree.
@@ -40,6 +41,12 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 class ByteBpe:
     """ids(text) equals tokenizers' encode(text, add_special_tokens=False).ids, as uint32 bytes."""
 
+    @staticmethod
+    @lru_cache(4)
+    def of(path: str) -> ByteBpe:
+        """The worker's own for a file, kept with its words between tasks."""
+        return ByteBpe(path)
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

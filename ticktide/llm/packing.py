@@ -16,12 +16,8 @@ from .bpe import ByteBpe, default_path
 from .common import stage
 
 SIZE = 1024
-#: Sequences with no more free tokens than SIZE // NEARLY are emitted at once.
-NEARLY = 64
 #: Neighbouring groups joined in a merge round.
 FAN_IN = 16
-#: Underfull sequences a group may hand on; of more, the fullest, which hardly anything fits, are emitted as they are.
-CARRY = 50_000
 
 
 def best_fit(sizes: list[int], capacity: int = SIZE) -> tuple[list[int], list[int], list[int]]:
@@ -47,44 +43,57 @@ def best_fit(sizes: list[int], capacity: int = SIZE) -> tuple[list[int], list[in
     return bins, places, used
 
 
-def carried(used: np.ndarray, capacity: int, last: bool) -> np.ndarray:
-    """Which sequences go on to the next round."""
-    open_ = used < capacity - capacity // NEARLY
-    if last:
+def carried(used: np.ndarray, capacity: int, groups: int) -> np.ndarray:
+    """Which sequences go on to the next round, where so many groups are left.
+
+    Best fit leaves a group at most one sequence of half the capacity or less, as two would fit
+    together, and two longer ones never do; so each later join takes such a short one, and there are
+    no more joins to come than groups. If a short sequence fits any sequence of this group, it also
+    fits an emptier one, so the groups + 1 emptiest are all that can ever be needed: handing on more
+    saves no sequence."""
+    open_ = used < capacity
+    if groups <= 1:
         return np.zeros(len(used), bool)
-    if open_.sum() > CARRY:
+    if open_.sum() > groups + 1:
         at = np.flatnonzero(open_)
-        open_[at[np.argsort(used[at], kind="stable")[CARRY:]]] = False
+        open_[at[np.argsort(used[at], kind="stable")[groups + 1 :]]] = False
     return open_
 
 
 def _schema(doc_id: T.DataType, with_ids: bool) -> T.StructType:
     s = T.StructType([T.StructField("doc_id", doc_id), T.StructField("piece", T.IntegerType())])
-    for n in ("start", "length", "ids_crc32", "sequence_id", "offset", "part"):
+    for n in ("start", "length", "ids_crc32", "sequence_id", "offset", "part", "fill"):
         s = s.add(n, "long")
-    s = s.add("carried", "boolean")
     return s.add("ids", "binary") if with_ids else s
 
 
+_MERGED = "part long, sequence_id long, fill long, to_id long, shift long, carried boolean"
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = 2, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as uint32 bytes).
 
     Only documents longer than size are cut; all but their first piece fill a sequence. Each
-    partition packs its own pieces by best fit decreasing, emits the nearly full sequences and
-    hands on the others; neighbouring partitions' leftovers are packed again, sequences as items,
-    until one group is left. No task holds more than one partition's pieces or FAN_IN * CARRY
-    leftovers. Every result of a round is written to the shared folder, so a lost executor repeats
-    its own tasks only; ids come from partition numbers and stay the same then.
+    partition packs its own pieces by best fit decreasing and writes them. Of its underfull
+    sequences it hands on those that a later join may need (see carried): rows of id and fill, no
+    pieces. Neighbouring groups' sequences are packed again as items, round by round, until one group
+    is left; a merged sequence follows in the one that it joined. At the end the moves, at most one a
+    partition, are applied to the pieces. Every round is written to the shared folder, so a lost
+    executor repeats its own tasks only; ids come from partition numbers and stay the same then.
+    Memory: the pieces of one partition, or the sequences handed on by FAN_IN groups.
 
     Null and empty texts are the end id alone. Repeated rows are packed each for itself, a null id
     stays null, ties go by input order, and other columns are ignored; an empty table gives no rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     path = tokenizer or default_path()
     schema = _schema(docs.schema[id_col].dataType, with_ids)
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def local(batches):
         from pyspark import TaskContext
 
-        bpe, end = ByteBpe(path), struct.pack("<I", end_id)
+        bpe, end = ByteBpe.of(path), struct.pack("<I", end_id)
         cols: dict[str, list] = {n: [] for n in schema.names}
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -103,43 +112,46 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
             return
         part = TaskContext.get().partitionId()
         bins, places, used = best_fit(cols["length"], size)
-        go = carried(np.array(used), size, False)
         cols["sequence_id"] = [(part << 40) + x for x in bins]
-        cols["offset"], cols["part"], cols["carried"] = places, [part] * len(bins), go[bins].tolist()
+        cols["offset"], cols["part"], cols["fill"] = places, [part] * len(bins), np.array(used)[bins].tolist()
         out = pa.table({f.name: pa.array(cols[f.name], kind) for f, kind in zip(schema.fields, kinds, strict=True)})
         yield from out.to_batches(max_chunksize=50_000)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    pieces = stage(docs.select(id_col, text).mapInArrow(local, schema), "packed")
+    groups = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    # The piece at offset 0 stands for its sequence, so no piece is shuffled.
+    now = pieces.where((F.col("offset") == 0) & (F.col("fill") < size)).select("part", "sequence_id", "fill")
+    moves = None
+    while groups > 1:
+        after = -(-groups // FAN_IN)
+        grouped = now.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part")
+        merged = stage(grouped.applyInPandas(_merger(size, after, groups), _MERGED), "merged")
+        new = merged.where(F.col("to_id") != F.col("sequence_id")).select(F.col("sequence_id").alias("from_id"), "to_id", "shift")
+        if moves is None:
+            moves = new
+        else:
+            then = new.toDF("mid", "then_id", "more")
+            moves = moves.join(then, F.col("to_id") == F.col("mid"), "left").select("from_id", F.coalesce("then_id", "to_id").alias("to_id"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")).unionByName(new)
+        now, groups = merged.where("carried").select("part", F.col("to_id").alias("sequence_id"), "fill"), after
+    if moves is None:
+        return pieces.drop("part", "fill")
+    moves = stage(moves, "moves")
+    out = pieces.drop("part", "fill").join(moves, F.col("sequence_id") == F.col("from_id"), "left")
+    return out.withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0))).withColumn("sequence_id", F.coalesce("to_id", "sequence_id")).drop("from_id", "to_id", "shift")
 
-    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-    now = stage(docs.select(id_col, text).mapInArrow(local, schema), "packed")
-    out = [now.where(~F.col("carried"))]
-    groups = (now.agg(F.max("part")).first()[0] or 0) + 1
-    while True:
-        last = groups <= FAN_IN
-        grouped = now.where("carried").withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part")
-        now = grouped.applyInPandas(_merger(size, last), schema)
-        if last:
-            out.append(now)
-            break
-        now = stage(now, "packed")
-        out.append(now.where(~F.col("carried")))
-        groups = -(-groups // FAN_IN)
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result.drop("part", "carried")
-
-
-def _merger(size: int, last: bool):
+
+def _merger(size: int, groups: int, before: int):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, at = np.unique(rows.sequence_id.to_numpy(), return_inverse=True)
-        fill = np.bincount(at, rows.length.to_numpy()).astype(np.int64)
+        rows = rows.sort_values(["fill", "sequence_id"], kind="stable")
+        # Of each group the emptiest that may be needed were not yet chosen in the first round; choosing again changes nothing.
+        rows = rows.iloc[: (before + 1) * FAN_IN]
+        keys, fill = rows.sequence_id.to_numpy(), rows.fill.to_numpy()
         bins, places, used = (np.array(x) for x in best_fit(fill.tolist(), size))
         name = np.zeros(len(used), np.int64)
-        name[bins[::-1]] = keys[::-1]
-        go = carried(used, size, last)
-        return rows.assign(sequence_id=name[bins[at]], offset=rows.offset.to_numpy() + places[at], carried=go[bins[at]])
+        name[bins[places == 0]] = keys[places == 0]
+        # A sequence made of several goes on once, as its first one.
+        go = carried(used, size, groups)[bins] & (places == 0)
+        return pd.DataFrame({"part": rows.part.to_numpy(), "sequence_id": keys, "fill": used[bins], "to_id": name[bins], "shift": places, "carried": go})
 
     return merge
 
