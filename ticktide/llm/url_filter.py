@@ -8,13 +8,17 @@ from random import Random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Rules are compiled into one expression; a driver-side list, so bounded.
 MOST_RULES = 2000
-TREES, RATE, BINS, RIDGE = 10, 0.5, 32, 1.0
+TREES, DEPTH, RATE, BINS, RIDGE = 24, 3, 0.3, 32, 1.0
+#: Labelled URLs that fitting may use, the first by hash; they reach the driver as whole-number bins, equal ones once.
+FIT_ROWS = 20_000
+#: Labelled URLs of the same kind that a suffix's rate is drawn towards the mean by.
+SUFFIX_PRIOR = 8
 
 _BAD = ("casino", "royal", "bets", "meds", "win", "hot", "adult", "cams", "spam", "ads", "click", "pills", "bonus", "loan", "lotto", "sex", "replica", "seo", "crypto", "warez")
 _GOOD = ("library", "weather", "garden", "history", "recipes", "museum", "science", "news", "maps", "poetry", "city", "star", "chess", "theatre", "rail", "botany", "school", "archive", "maths", "music")
@@ -84,14 +88,27 @@ def rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def suffix_rates(labelled: DataFrame) -> Column:
-    """Smoothed share of blocked URLs by last host label, as one expression; the commonest 256 suffixes have an entry."""
-    s = labelled.select(_suffix(host(F.col("url"))).alias("s"), "label").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).orderBy(F.desc("n"), "s").limit(256).collect()
+def suffix_bins(labelled: DataFrame) -> tuple[list[list[str]], int]:
+    """Last host labels by bin of their smoothed share of blocked URLs, and the bin of all others; from one small aggregate."""
+    s = labelled.select(_suffix(host(F.col("url"))).alias("s"), "label").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")).collect()
     total, bad = sum(r["n"] for r in s), sum(r["k"] for r in s)
     base = (bad + 1) / (total + 2)
-    pairs = [x for r in s for x in (F.lit(r["s"]), F.lit((r["k"] + 8 * base) / (r["n"] + 8)))]
-    table_ = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(base))
-    return lambda h: F.coalesce(F.try_element_at(table_, _suffix(h)), F.lit(base))
+    bin_ = lambda rate: min(BINS - 1, int(rate * (BINS - 1)))
+    out: list[list[str]] = [[] for _ in range(BINS)]
+    for r in sorted(s, key=lambda r: r["s"]):
+        out[bin_((r["k"] + SUFFIX_PRIOR * base) / (r["n"] + SUFFIX_PRIOR))].append(r["s"])
+    other = bin_(base)
+    out[other] = []
+    return out, other
+
+
+def _suffix_bin(h: Column, bins: list[list[str]], other: int) -> Column:
+    """Every suffix of the fitted rows has its bin; they are at most FIT_ROWS and looked up as sets."""
+    out, s = F.lit(other), _suffix(h)
+    for i, names in enumerate(bins):
+        if names:
+            out = F.when(s.isin(names), i).otherwise(out)
+    return out
 
 
 def _suffix(h: Column) -> Column:
@@ -111,7 +128,7 @@ def _entropy(s: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - part(c) * F.log2(part(c)))).otherwise(0.0)
 
 
-def features(url: Column, rate) -> dict[str, Column]:
+def features(url: Column, suffixes: tuple[list[list[str]], int]) -> dict[str, Column]:
     """Lexical features, each as a whole-number bin from 0 to BINS - 1."""
     u, h, p = F.coalesce(url, F.lit("")), host(url), path(url)
     count = lambda s, ch: F.char_length(s) - F.char_length(F.replace(s, F.lit(ch), F.lit("")))
@@ -125,92 +142,103 @@ def features(url: Column, rate) -> dict[str, Column]:
         "labels": count(h, "."),
         "host": F.char_length(h) / 3,
         "host_digits": _share(h, "[0-9]+") * 64,
-        "suffix": rate(h) * 31,
+        "suffix": _suffix_bin(h, *suffixes),
     }
     return {k: F.least(F.lit(BINS - 1), F.floor(v)).cast("int") for k, v in raw.items()}
 
 
+def boost(rows: list[tuple[tuple[int, ...], int, int]], trees: int = TREES, depth: int = DEPTH) -> tuple[float, list[tuple[list[tuple[int, int]], list[float]]]]:
+    """Gradient boosting with logistic loss on (bins, label, weight) rows: a base margin and symmetric trees.
+
+    A tree asks at each level whether one feature is at or over one cut, the same for all its
+    leaves; the split with the greatest gain g^2 / (h + RIDGE), summed over leaves, is taken, of
+    equal ones the first by feature and cut. Leaves are RATE * g / (h + RIDGE)."""
+    n, bad = sum(w for *_, w in rows), sum(w for _, y, w in rows if y)
+    base = math.log((bad + 1) / (n - bad + 1))
+    if not rows:
+        return base, []
+    margin, out, names = [base] * len(rows), [], len(rows[0][0])
+    gain = lambda g, h: g * g / (h + RIDGE)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        grad = [w * (y - q) for (_, y, w), q in zip(rows, p, strict=True)]
+        hess = [w * q * (1 - q) for (*_, w), q in zip(rows, p, strict=True)]
+        leaf, splits, leaves = [0] * len(rows), [], []
+        for level in range(depth):
+            hist = [[[0.0, 0.0] for _ in range(names * BINS)] for _ in range(1 << level)]
+            for (x, *_), at, g, h in zip(rows, leaf, grad, hess, strict=True):
+                mine = hist[at]
+                for f, b in enumerate(x):
+                    cell = mine[f * BINS + b]
+                    cell[0] += g
+                    cell[1] += h
+            best = None
+            for f in range(names):
+                sums = [cells[f * BINS : (f + 1) * BINS] for cells in hist]
+                whole = [(sum(c[0] for c in s), sum(c[1] for c in s)) for s in sums]
+                left = [(0.0, 0.0)] * len(sums)
+                for cut in range(1, BINS):
+                    left = [(g + s[cut - 1][0], h + s[cut - 1][1]) for (g, h), s in zip(left, sums, strict=True)]
+                    right = [(a - g, b - h) for (a, b), (g, h) in zip(whole, left, strict=True)]
+                    value = round(sum(gain(*x) for x in left + right) - sum(gain(*x) for x in whole), 9)
+                    if value > 1e-6 and (best is None or value > best[0]):
+                        best = (value, (f, cut), [RATE * g / (h + RIDGE) for pair in zip(left, right, strict=True) for g, h in pair])
+            if best is None:
+                break
+            splits.append(best[1])
+            leaves = best[2]
+            f, cut = best[1]
+            leaf = [at * 2 + (x[f] >= cut) for at, (x, *_) in zip(leaf, rows, strict=True)]
+        if not splits:
+            break
+        out.append((splits, leaves))
+        margin = [m + leaves[at] for m, at in zip(margin, leaf, strict=True)]
+    return base, out
+
+
 class Boosted:
-    """Gradient boosting of symmetric trees of depth two on binned features, with logistic loss.
+    """Boosted trees fitted on at most limit labelled URLs, and applied as one expression.
 
-    Each level takes one aggregation by leaf, feature and bin: its result has at most
-    4 * features * BINS rows whatever the number of labelled rows, and only that reaches the driver."""
+    Two small jobs bring what fitting needs to the driver: URL counts by suffix, and the distinct
+    bin vectors with their weights."""
 
-    def __init__(self, labelled: DataFrame, trees: int = TREES):
-        rate = suffix_rates(labelled)
-        self.rate = rate
-        bins = features(F.col("url"), rate)
+    def __init__(self, labelled: DataFrame, trees: int = TREES, limit: int = FIT_ROWS):
+        known = labelled.where(F.col("label").isNotNull()).select("url", F.col("label").cast("int").alias("label"))
+        part = min(1.0, 0.9 * limit / max(1, known.count()))
+        known = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20)))
+        self.suffixes = suffix_bins(known)
+        bins = features(F.col("url"), self.suffixes)
         self.names = list(bins)
-        rows = labelled.where(F.col("label").isNotNull()).select(F.col("label").cast("double").alias("y"), *[c.alias(f"f_{k}") for k, c in bins.items()])
-        rows = stage(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("w")), "binned")
-        n, k = (rows.agg(F.sum("w"), F.sum(F.col("y") * F.col("w"))).first()) or (0, 0)
-        self.base = math.log(((k or 0) + 1) / ((n or 0) - (k or 0) + 1))
-        self.trees: list[tuple[list[tuple[str, int]], list[float]]] = []
-        for _ in range(trees if n else 0):
-            splits: list[tuple[str, int]] = []
-            for _ in range(2):
-                hist = self._histogram(rows, splits)
-                best = self._best(hist, 1 << len(splits))
-                if best is None:
-                    break
-                splits.append(best[0])
-                leaves = best[1]
-            if not splits:
-                break
-            self.trees.append((splits, leaves))
+        rows = known.select(F.col("label").alias("y"), *[c.alias(k) for k, c in bins.items()]).groupBy("y", *self.names).agg(F.count(F.lit(1)).alias("w"))
+        self.base, self.trees = boost(sorted((tuple(r[k] for k in self.names), r["y"], r["w"]) for r in rows.collect()), trees)
 
     @staticmethod
-    def _leaf(splits) -> Column:
+    def _leaf(splits, col) -> Column:
         at = F.lit(0)
         for f, cut in splits:
-            at = at * 2 + F.when(F.col(f"f_{f}") >= cut, 1).otherwise(0)
+            at = at * 2 + F.when(col(f) >= cut, 1).otherwise(0)
         return at
 
-    def margin(self) -> Column:
+    def margin(self, col) -> Column:
         total = F.lit(self.base)
         for splits, leaves in self.trees:
-            at = self._leaf(splits)
-            value = F.lit(leaves[-1])
-            for i in range(len(leaves) - 1):
-                value = F.when(at == i, leaves[i]).otherwise(value)
-            total = total + value
+            total = total + F.get(F.array(*map(F.lit, leaves)), self._leaf(splits, col))
         return total
 
-    def _histogram(self, rows: DataFrame, splits):
-        p = 1 / (1 + F.exp(-self.margin()))
-        each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"f_{f}").alias("b")) for f in self.names]))
-        g = rows.select(self._leaf(splits).alias("leaf"), (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("h"), each.alias("x"))
-        found = g.groupBy("leaf", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        return {(r["leaf"], r["f"], r["b"]): (r["g"], r["h"]) for r in found}
-
-    def _best(self, hist, leaves: int):
-        gain = lambda g, h: g * g / (h + RIDGE)
-        best = None
-        for f in self.names:
-            sums = [[hist.get((x, f, b), (0.0, 0.0)) for b in range(BINS)] for x in range(leaves)]
-            whole = [(sum(g for g, _ in s), sum(h for _, h in s)) for s in sums]
-            left = [(0.0, 0.0)] * leaves
-            for cut in range(1, BINS):
-                left = [(g + s[cut - 1][0], h + s[cut - 1][1]) for (g, h), s in zip(left, sums, strict=True)]
-                right = [(a - g, b - h) for (a, b), (g, h) in zip(whole, left, strict=True)]
-                value = round(sum(gain(*x) for x in left + right) - sum(gain(*x) for x in whole), 9)
-                if value > 1e-6 and (best is None or value > best[2]):
-                    best = ((f, cut), [RATE * g / (h + RIDGE) for pair in zip(left, right, strict=True) for g, h in pair], value)
-        return best
-
     def judge(self, df: DataFrame, url: str = "url", out: str = "block_score") -> DataFrame:
-        """df with the probability of a block; bins are computed once a row."""
-        names = [F.col(f"`{c}`") for c in df.columns if c != out]
-        bins = df.select(*names, *[c.alias(f"f_{k}") for k, c in features(F.col(url), self.rate).items()])
-        return bins.select(*names, (1 / (1 + F.exp(-self.margin()))).alias(out))
+        """df with the probability of a block in out, which replaces a column of that name; bins are computed once a row."""
+        names = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+        (held,) = fresh(df, "bins")
+        bins = df.select(*names, F.array(*features(F.col(f"`{url}`"), self.suffixes).values()).alias(held))
+        return bins.select(*names, (1 / (1 + F.exp(-self.margin(lambda f: F.get(held, F.lit(f)))))).alias(out))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, verdict and block_score; columns of those names are replaced.
 
     A rule's verdict stands where one fits, the longest winning; else the trees block from 0.5 on.
-    labelled has url and label (1: block) and defaults to the seed list; it may be large, as only
-    histograms reach the driver. Null urls have empty host and path, no rule, and the score of an
+    labelled has url and label (1: block) and defaults to the seed list; of a large one FIT_ROWS rows
+    are used. Rules of equal length that fit the same url are tried in the order given. Null urls have empty host and path, no rule, and the score of an
     empty url. Long urls count whole, repeated rows are judged alike, an empty table stays empty."""
     base = pages.drop("host", "path", "rule", "verdict", "block_score")
     trees = Boosted(seeds(pages.sparkSession) if labelled is None else labelled)
