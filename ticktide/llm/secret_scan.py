@@ -20,67 +20,96 @@ KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 SPAN = "array<struct<kind:string,a:int,b:int>>"
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, which is computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running(a: Column, zero: Column, op) -> Column:
+    """op over the items up to each one, in blocks of about the root of the array's size, so its cost grows with size ** 1.5."""
+
+    def scan(v: Column, n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / n).cast("int") - 1), lambda k: F.slice(v, k * n + 1, n))
+        inside = lambda block, before: F.transform(block, lambda _, i: F.aggregate(F.slice(block, 1, i + 1), before, op))
+        each = lambda b, sums: F.transform(b, lambda block, k: _let(F.aggregate(F.slice(sums, 1, k), zero, op), lambda before: inside(block, before)))
+        return F.flatten(_let(blocks, lambda b: _let(F.transform(b, lambda block: F.aggregate(block, zero, op)), lambda sums: each(b, sums))))
+
+    return _let(a, lambda v: F.when(F.size(v) > 0, _let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda n: scan(v, n))).otherwise(v))
+
+
 def spans(t: Column, kind: str, pattern: str, keep=None) -> Column:
-    """Code point spans of the leftmost non-overlapping matches: running lengths of what lies between and of the matches."""
-    between, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.transform(between, lambda x: F.char_length(x)).alias("x"), F.transform(found, lambda x: F.char_length(x)).alias("y"), (F.transform(found, keep) if keep else F.transform(found, lambda x: F.lit(True))).alias("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Code point spans of the leftmost non-overlapping matches, of those that keep accepts: starts are running sums of the lengths between and of the matches."""
+
+    def place(found: Column) -> Column:
+        steps = lambda between: F.transform(found, lambda _, i: F.char_length(F.get(between, i)) + F.when(i > 0, F.char_length(F.get(found, i - 1))).otherwise(0))
+        starts = running(_let(F.split(t, pattern, -1), steps), F.lit(0), lambda s, x: s + x)
+        span = lambda at, m, i: F.struct(F.lit(kind).alias("kind"), F.get(at, i).alias("a"), (F.get(at, i) + F.char_length(m)).alias("b"))
+        all_ = lambda at: F.transform(found, lambda m, i: F.when(keep(m), span(at, m, i)) if keep else span(at, m, i))
+        return F.filter(_let(starts, all_), lambda x: x.isNotNull())
+
+    none = F.array().cast(SPAN)
+    return _let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none)).cast(SPAN)
 
-    def step(s, m):
-        a = s["at"] + m["x"]
-        b = a + F.coalesce(m["y"], F.lit(0))
-        new = F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
-        return F.struct(b.alias("at"), F.when(m["ok"], F.array_append(s["out"], new)).otherwise(s["out"]).alias("out"))
 
-    return F.when(t.rlike(pattern), F.aggregate(both, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+def near(xs: Column, ys: Column, scope: int, wanted: bool = True) -> Column:
+    """The spans of xs with one of ys at most scope characters apart (-1: overlapping), or those without.
 
+    An interval join by one sweep: both lists in order of their starts, for each x the furthest end
+    of the ys before it and the start of the next one."""
+    none, far = F.array().cast(SPAN), F.lit(1 << 30)
+    side = lambda s, k: F.transform(s, lambda x: F.struct(x["a"].alias("a"), F.lit(k).alias("side"), x["b"].alias("b"), x["kind"].alias("kind")))
 
-def _near(x: Column, others: Column) -> Column:
-    return F.exists(others, lambda y: (y["a"] <= x["b"] + SCOPE) & (y["b"] >= x["a"] - SCOPE))
+    def sweep(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: F.when(x["side"] == 0, x["b"]).otherwise(-far)), -far, lambda s, x: F.greatest(s, x))
+        starts = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(x["side"] == 0, x["a"]).otherwise(far))), far, lambda s, x: F.least(s, x)))
 
+        def pick(before: Column, after: Column) -> Column:
+            close = lambda x, i: (F.get(before, i) >= x["a"] - scope) | (F.get(after, i) <= x["b"] + scope)
+            mine = lambda x, i: (x["side"] == 1) & (close(x, i) if wanted else ~close(x, i))
+            return F.transform(both, lambda x, i: F.when(mine(x, i), F.struct(x["kind"].alias("kind"), x["a"].alias("a"), x["b"].alias("b"))))
 
-def _apart(x: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda y: (y["a"] < x["b"]) & (y["b"] > x["a"]))
+        return F.filter(_let(ends, lambda before: _let(starts, lambda after: pick(before, after))), lambda x: x.isNotNull())
+
+    joined_ = _let(F.array_sort(F.concat(side(ys, 0), side(xs, 1))), sweep).cast(SPAN)
+    return F.when(F.size(xs) == 0, none).when(F.size(ys) == 0, none if wanted else xs).otherwise(joined_)
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the arrays secret_base and secret_linked of (kind, a, b), code points, b exclusive.
+    """docs with secret_base and secret_linked, arrays of (kind, a, b) in code points, b exclusive, and n_assign, n_access and n_hex.
 
     Base kinds stand alone: assign, access and hex. Weak identifiers, secrets and endpoints are
     reported only within SCOPE characters of a complement: a weak secret near an identifier or
     endpoint, a weak identifier near a secret, an endpoint near both; a base access key is an
-    identifier and the other base kinds are secrets. The join on intervals runs inside each text,
-    so nothing is shuffled. Nulls and empty texts have no spans, each row is scanned for itself,
-    texts are scanned whole, and columns with those two names are replaced."""
-    d = docs.drop("secret_base", "secret_linked")
-    names = [F.col(f"`{c}`") for c in d.columns]
-    t = F.coalesce(F.col(text), F.lit(""))
+    identifier and the other base kinds are secrets. The interval joins run inside each text by
+    sweeps, so nothing is shuffled. Nulls and empty texts have no spans, equal rows are scanned each
+    for itself, texts are scanned whole, and columns of those five names are replaced, in any case;
+    others may have any name."""
+    made = ("secret_base", "secret_linked", "n_assign", "n_access", "n_hex")
+    names = [c for c in docs.columns if c.lower() not in made]
+    held = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).cast("int"))
     value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 1)) >= 6
     mixed = lambda m: m.rlike("[:=]") | (m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"))
-    none = F.array().cast(SPAN)
+    none, t = F.array().cast(SPAN), F.col("t")
     sign = F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))
+    d = docs.select(held.alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     d = d.select(
-        *names,
-        t.alias("s_t"),
-        F.when(sign, spans(t, "assign", ASSIGN, value)).otherwise(none).alias("s_assign"),
-        F.when(F.contains(t, F.lit("AKIA")), spans(t, "access", ACCESS)).otherwise(none).alias("s_access"),
-        spans(t, "hex", HEX).alias("s_hex"),
-        spans(t, "secret", WEAK_SECRET, mixed).alias("s_secret"),
+        "doc",
+        "t",
+        F.when(sign, spans(t, "assign", ASSIGN, value)).otherwise(none).alias("assign"),
+        F.when(F.contains(t, F.lit("AKIA")), spans(t, "access", ACCESS)).otherwise(none).alias("access"),
+        spans(t, "hex", HEX).alias("hex"),
+        spans(t, "secret", WEAK_SECRET, mixed).alias("secret"),
     )
-    d = d.withColumn("s_base", F.concat("s_assign", "s_access", "s_hex"))
+    d = d.withColumn("base", F.concat("assign", "access", "hex"))
     # Ids and endpoints are looked for only where some secret or access key is about.
-    some = (F.size("s_base") + F.size("s_secret")) > 0
-    s_t = F.col("s_t")
-    d = d.withColumn("s_id", F.when(some, spans(s_t, "id", WEAK_ID)).otherwise(none)).withColumn("s_end", F.when(some, spans(s_t, "endpoint", ENDPOINT)).otherwise(none)).drop("s_t")
-    for c in ("s_secret", "s_id", "s_end"):
-        d = d.withColumn(c, F.filter(c, lambda x: _apart(x, F.col("s_base"))))
-    d = d.withColumn("s_ids", F.concat("s_access", "s_id")).withColumn("s_secrets", F.concat("s_assign", "s_hex", "s_secret")).withColumn("s_rest", F.concat("s_access", "s_id", "s_end"))
-    linked = F.concat(
-        F.filter("s_id", lambda x: _near(x, F.col("s_secrets"))),
-        F.filter("s_secret", lambda x: _near(x, F.col("s_rest"))),
-        F.filter("s_end", lambda x: _near(x, F.col("s_ids")) & _near(x, F.col("s_secrets"))),
-    )
-    return d.select(*names, F.col("s_base").alias("secret_base"), linked.alias("secret_linked"), F.size("s_assign").cast("long").alias("n_assign"), F.size("s_access").cast("long").alias("n_access"), F.size("s_hex").cast("long").alias("n_hex"))
+    some = (F.size("base") + F.size("secret")) > 0
+    d = d.withColumn("id", F.when(some, spans(t, "id", WEAK_ID)).otherwise(none)).withColumn("end", F.when(some, spans(t, "endpoint", ENDPOINT)).otherwise(none)).drop("t")
+    for c in ("secret", "id", "end"):
+        d = d.withColumn(c, near(F.col(c), F.col("base"), -1, wanted=False))
+    d = d.withColumn("ids", F.concat("access", "id")).withColumn("secrets", F.concat("assign", "hex", "secret"))
+    linked = F.concat(near(F.col("id"), F.col("secrets"), SCOPE), near(F.col("secret"), F.concat("ids", "end"), SCOPE), near(near(F.col("end"), F.col("ids"), SCOPE), F.col("secrets"), SCOPE))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return d.select(*([F.col("doc.*")] if names else []), F.col("base").alias("secret_base"), linked.alias("secret_linked"), *counts)
 
 
 def joined(s: Column) -> Column:
@@ -104,14 +133,12 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(text).alias("text"))
     f = find(whole).withColumn("every", F.array_sort(F.transform(F.concat("secret_base", "secret_linked"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        keep = F.substring(F.col("text"), s["at"] + 1, F.greatest(x["a"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["b"]).alias("at"), F.when(x["a"] >= s["at"], F.concat(s["out"], keep, F.lit(mask))).otherwise(s["out"]).alias("out"))
-
-    clean = F.aggregate("every", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length(F.col("text")))))
-    clean = F.when(F.size("every") > 0, clean).otherwise(F.col("text"))
+    # What stands before a span and after all others' ends: its own pieces are joined once.
+    ends = running(F.transform("every", lambda x: x["b"]), F.lit(0), lambda s, x: F.greatest(s, x))
+    last = lambda e, i: F.when(i > 0, F.get(e, i - 1)).otherwise(0)
+    cut = lambda e: F.transform("every", lambda x, i: F.when((i == 0) | (x["a"] >= last(e, i)), F.concat(F.substring(F.col("text"), last(e, i) + 1, x["a"] - last(e, i)), F.lit(mask))).otherwise(""))
+    rest = lambda e: F.substring(F.col("text"), F.element_at(e, -1) + 1, F.char_length(F.col("text")))
+    clean = F.when(F.size("every") > 0, _let(ends, lambda e: F.concat(F.array_join(cut(e), ""), rest(e)))).otherwise(F.col("text"))
     return f.select(*[clean.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in names])
 
 
