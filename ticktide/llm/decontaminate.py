@@ -112,7 +112,7 @@ class Windows:
                     found.update(dict.fromkeys(known[window]))
                 if known[window]:
                     spans.append((i, i + n))
-        return merge(spans), [self.names[i] for i in found]
+        return merge(spans), list(dict.fromkeys(self.names[i] for i in found))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,7 +138,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     The item set is broadcast only after the bytes of its index are summed; beyond the limit the
     items go in hashed blocks of that size, each broadcast in turn over a staged result, so every
     window is tried. Nulls: a null text or item has no words; a null item id is reported as an item
-    like any other. Ties: a window of several items reports all. Repeated rows are
+    like any other. Ties: a window of several items reports all, equal ids once. Repeated rows are
     marked each for itself; empty tables give empty or unmarked ones. A long text is scanned
     whole, in memory of its own size. Columns named n_words, hits or items are replaced."""
     ids = T.ArrayType(benchmark.schema[item_id].dataType)
