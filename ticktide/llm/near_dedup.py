@@ -23,6 +23,8 @@ SIFT = 0.62
 BLOCK = 2048
 #: Pairs of one node that meet its set in one group; a node of more has its set copied to as many groups.
 CHUNK = 512
+#: Document ids up to which those whose sets are needed are broadcast (16 bytes each); more meet the texts in a join.
+MOST_IDS = 2_000_000
 VOCAB = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -252,13 +254,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     best = best.join(sketch.toDF("u", "su"), "u").join(sketch.toDF("v", "sv"), "v").withColumn("odd", _odd("su", "sv")).where(F.col("odd") <= most)
     best = stage(best.groupBy("v").agg(F.min(F.struct("odd", "u")).alias("x")).select("x.u", "v"), "stars")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("wanted")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(width), "node binary, shingles binary").join(members.select("node").distinct(), "node", "left_semi")
-    sets = stage(sets.dropDuplicates(["node"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        # Only the nodes of these pairs have their sets made again, from the document of least id of each.
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        wanted = stage(ends.join(nodes.select("node", "low"), "node").select(F.col("low").alias("wanted")).distinct(), "wanted")
+        if wanted.count() <= MOST_IDS:
+            wanted = F.broadcast(wanted)
+        chosen = texts.join(wanted, texts["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
+        sets = stage(chosen.mapInArrow(_sets(width), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
         return stage(_with_sets(pairs, sets).mapInArrow(_confirm(percent), "u binary, v binary"), "links")
 
     links = confirm(best)
