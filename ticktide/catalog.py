@@ -79,7 +79,7 @@ def bin_waveform_collapse(spark, d):
     return bins.reduce_bins(e, F.col("vec_id"), 50, ["v"], ["mean"], ["label"], first=0).select("label", "bin", _rounded("v_mean").alias("v_avg"))
 
 
-_RATE = "WITH n AS (SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 600000000 AS bin, count(*) AS k, sum(length(props)) AS b FROM events GROUP BY 1)"
+_RATE = "WITH n AS (SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 600000000 AS bin, count(*) AS k, sum(strlen(props)) AS b FROM events GROUP BY 1)"
 _DENSE = " SELECT CAST(g.bin AS BIGINT) AS bin, {} AS rate FROM (SELECT unnest(range((SELECT max(bin) + 1 FROM n))) AS bin) g LEFT JOIN n ON g.bin = n.bin"
 
 
@@ -105,7 +105,7 @@ def bin_coverage_events(spark, d):
 
 @query(_RATE + _DENSE.format("round(coalesce(n.b, 0) / 1024.0, 9)::DOUBLE"))
 def bin_volume_kb(spark, d):
-    r = _rate(spark, d, size=F.char_length("props"))
+    r = _rate(spark, d, size=F.octet_length("props"))
     return r.select("bin", _rounded(F.col("rate") / 1024.0, 9).alias("rate"))
 
 
@@ -384,3 +384,6 @@ def array_put_pad(spark, d):
 def normal_params(spark, d):
     raw = F.when(F.col("c_custkey") % 3 == 0, "-z  -q x -a 5").when(F.col("c_custkey") % 3 == 1, " b a ").otherwise("  ")
     return _table(spark, d, "customer").select("c_custkey", text.normal_params(raw).alias("params"))
+
+
+from . import catalog_streams  # noqa: E402,F401 registers its queries

@@ -63,3 +63,102 @@ def from_csv(s: Column, sep: str = ",") -> Column:
 
 def to_csv(a: Column, sep: str = ",", digits: int = 6) -> Column:
     return F.array_join(F.transform(a, lambda x: F.format_string(f"%.{digits}e", x.cast("double"))), sep)
+
+
+def append(a: Column, *values) -> Column:
+    """Items added at the end of an array."""
+    return F.concat(a, F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]))
+
+
+def runs(a: Column, ends: Column) -> Column:
+    """A flat array cut into runs that end before each of the ascending positions; a last open run is kept if it has items."""
+    stops = F.concat(ends, F.when(F.coalesce(F.element_at(ends, -1), F.lit(0)) < F.size(a), F.array(F.size(a))).otherwise(F.array().cast("array<int>")))
+    return F.transform(stops, lambda stop, i: F.slice(a, F.when(i == 0, 1).otherwise(F.get(stops, i - 1) + 1), stop - F.when(i == 0, 0).otherwise(F.get(stops, i - 1))))
+
+
+def cleared(a: Column) -> Column:
+    """An empty array of the same kind."""
+    return F.slice(a, 1, 0)
+
+
+def shape(a: Column, rank: int = 1) -> Column:
+    """Largest size at each of rank nested levels, for the array as a cube."""
+    level, out = a, []
+    for k in range(rank):
+        out.append(F.size(level) if k == 0 else F.coalesce(F.array_max(F.transform(level, F.size)), F.lit(0)))
+        level = level if k == 0 else F.flatten(level)
+    return F.array(*out)
+
+
+def count_items(a: Column, rank: int = 1) -> Column:
+    """Items in all nested levels."""
+    for _ in range(rank - 1):
+        a = F.flatten(a)
+    return F.size(a)
+
+
+def has(a: Column, *at: int) -> Column:
+    """Whether the index is within the (nested) array."""
+    ok, here = F.lit(True), a
+    for i in at:
+        ok = ok & (F.lit(i) >= 0) & (F.lit(i) < F.coalesce(F.size(here), F.lit(0)))
+        here = F.get(here, F.lit(i))
+    return ok
+
+
+def cube(a: Column, n: int, m: int, fill=None) -> Column:
+    """A ragged array of arrays as n by m, short runs and missing ones filled."""
+    rows = F.transform(a, lambda r: pad(r, m, fill))
+    return F.concat(rows, F.array_repeat(F.array_repeat(F.lit(fill).cast("double") if fill is None else F.lit(fill), m), F.greatest(F.lit(0), F.lit(n) - F.size(a))))
+
+
+def box_shape(ranges: list[tuple[int, int]]) -> list[int]:
+    """Extents of an index box [low, high) in each index; those of 1 are dropped, and an empty or negative range raises."""
+    for low, high in ranges:
+        if low < 0 or high <= low:
+            raise ValueError(f"bad range {low}:{high}")
+    return [high - low for low, high in ranges if high - low > 1]
+
+
+def box(a: Column, ranges: list[tuple[int, int]]) -> Column:
+    """The items of a nested array in an index box; indices of one item lose their level."""
+    box_shape(ranges)
+    (low, high), rest = ranges[0], ranges[1:]
+    if high - low == 1:
+        one = F.get(a, F.lit(low))
+        return box(one, rest) if rest else one
+    cut = F.slice(a, low + 1, high - low)
+    return F.transform(cut, lambda x: box(x, rest)) if rest else cut
+
+
+def cube_index(ranges: list[tuple[int, int]]) -> Column:
+    """Every index of a box, last index fastest, as an array of arrays."""
+    box_shape(ranges)
+
+    def longer(low: int, high: int):
+        return lambda x: F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda i: F.concat(x, F.array(i.cast("int"))))
+
+    out = F.array(F.array().cast("array<int>"))
+    for low, high in ranges:
+        out = F.flatten(F.transform(out, longer(low, high)))
+    return out
+
+
+def tags(values: list[float] | None = None, start: float | None = None, step: float | None = None, n: int | None = None) -> list[float]:
+    """Tag values of a scan: the list, or a series from start by step of n."""
+    if values:
+        return [float(v) for v in values]
+    if n is None or step is None:
+        raise ValueError("tags are a list, or a step and a number")
+    return [(start or 0.0) + i * step for i in range(n)]
+
+
+def interval(tag_values: list[float], part: float = 0.01, most: int = 2) -> float:
+    """The mean spacing of tags; raises where more than most spacings are off by over that part."""
+    if len(tag_values) < 2:
+        raise ValueError("fewer than two tags")
+    gaps = [b - a for a, b in zip(tag_values, tag_values[1:], strict=False)]
+    mean = (tag_values[-1] - tag_values[0]) / len(gaps)
+    if not mean or sum(abs(g - mean) > part * abs(mean) for g in gaps) > most:
+        raise ValueError("irregular tags")
+    return mean

@@ -44,7 +44,7 @@ def _reduced(c: Column, how: str) -> Column:
 def reduce_bins(df: DataFrame, x: Column, width, values: list[str], how=("mean",), keys: list[str] = (), first=None, items: dict[str, int] | None = None) -> DataFrame:
     """keys, bin, x (the bin's middle) and a column value_how for each reduction.
 
-    Null (fill) values are skipped; a bin without any has null. items gives the length of columns
+    Records without x are left out. Null (fill) values are skipped; a bin without any has null. items gives the length of columns
     that are fixed-length arrays: these are reduced item by item in the same aggregation. The peak
     starts from 0. first is the origin, the least x by default."""
     first = origin(df, x) if first is None else first
@@ -56,7 +56,7 @@ def reduce_bins(df: DataFrame, x: Column, width, values: list[str], how=("mean",
             n = (items or {}).get(v)
             c = F.array(*[_reduced(F.get(v, F.lit(j)), h) for j in range(n)]) if n else _reduced(F.col(v), h)
             aggs.append(c.alias(f"{v}_{h}"))
-    out = df.withColumn("bin", bin_of(x, first, width)).groupBy(*keys, "bin").agg(*aggs)
+    out = df.where(x.isNotNull()).withColumn("bin", bin_of(x, first, width)).groupBy(*keys, "bin").agg(*aggs)
     return out.withColumn("x", F.lit(first) + width * (F.col("bin") + 0.5))
 
 
@@ -70,16 +70,34 @@ def collapse(df: DataFrame, wave: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode(wave)).drop(wave)
 
 
-def rates(df: DataFrame, x: Column, width, dense: bool = True, events: bool = False, size: Column | None = None, first=None) -> DataFrame:
+#: Bins that one task of a dense rate makes.
+SPAN = 1 << 16
+
+
+def rates(df: DataFrame, x: Column, width, dense: bool = True, events: bool = False, size: Column | None = None, first=None, order: list[str] | None = None) -> DataFrame:
     """bin and rate: records, or summed size, per unit of time in each bin, over all packet types.
 
-    dense gives every bin from the least to the greatest, 0 where nothing is; events gives 1.0 for
-    each of them instead."""
-    first = origin(df, x) if first is None else first
-    counted = df.withColumn("bin", bin_of(x, first or 0, width)).groupBy("bin").agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("n"))
+    dense gives every bin from the least to the greatest, 0 where nothing is, made in tasks of SPAN
+    bins; events gives 1.0 for each of them instead. Records without x are left out. With order, the
+    stream's own order within its partitions' ranges, a time that goes back raises when read."""
+    from pyspark.sql import Window
+
+    if first is None or dense:
+        low, high = df.agg(F.min(x), F.max(x)).first()
+        first = low if first is None else first
+    d = df.where(x.isNotNull())
+    if order is not None:
+        w = Window.partitionBy(F.lit(0)).orderBy(*order)
+        d = d.withColumn("before_", F.lag(x).over(w))
+        d = d.where(F.when(F.col("before_") > x, F.raise_error(F.lit("time goes back")).cast("boolean")).otherwise(True))
+    counted = d.withColumn("bin", bin_of(x, first or 0, width)).groupBy("bin").agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("n"))
     if dense:
-        ends = df.agg(F.min(bin_of(x, first or 0, width)).alias("a"), F.max(bin_of(x, first or 0, width)).alias("b"))
-        counted = ends.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("bin")).join(counted, "bin", "left")
+        spark = df.sparkSession
+        if low is None:
+            return counted.select("bin", F.lit(0.0).alias("rate"))
+        ends = spark.range(1).select(bin_of(F.lit(low), first, width).alias("a"), bin_of(F.lit(high), first, width).alias("b")).first()
+        every = spark.range(ends["a"], ends["b"] + 1, 1, max(1, -(-(ends["b"] + 1 - ends["a"]) // SPAN)))
+        counted = every.select(F.col("id").alias("bin")).join(counted, "bin", "left")
     n = F.lit(1.0) if events else F.coalesce("n", F.lit(0))
     return counted.select("bin", n.alias("rate"))
 
@@ -90,16 +108,73 @@ def from_zero(df: DataFrame, x: Column, period: float, values: list[str], keys:
     return df.withColumn("bin", at).where("bin >= 0").groupBy(*keys, "bin").agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{v}_mean") for v in values])
 
 
+#: Bytes in a unit of volume.
+VOLUMES = {"bytes": 1, "kB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
+
+
+def volume(size: Column, unit: str) -> Column:
+    """Bytes as kB, MB or GB of 1024 each."""
+    return size / VOLUMES[unit]
+
+
+def resolution_label(seconds: float) -> str:
+    """Text on averaged data's resolution, as it is put after a title."""
+    if seconds < 1:
+        return f" ({seconds * 1000:.0f} ms Averages)"
+    if seconds < 60:
+        return f" ({seconds:.1f} s Averages)"
+    if seconds < 3600:
+        return f" ({seconds / 60:.1f} minute Averages)"
+    return f" ({seconds / 3600:.1f} hour Averages)" if seconds < 86400 else f" ({seconds / 86400:.3g} day Averages)"
+
+
 def interval_label(seconds: float) -> str:
-    """Text of an interval: 1 second, 10.0 minutes, ..."""
-    for size, name in ((86400, "day"), (3600, "hour"), (60, "minute"), (1, "second")):
-        if seconds >= size:
-            n = seconds / size
-            shown = f"{n:.3f}".rstrip("0").rstrip(".")
-            return f"{shown} {name}" + ("" if shown == "1" else "s")
-    return f"{seconds * 1000:g} milliseconds"
+    """An interval for labels: s, 10 minutes, 1.5 hours, ...; within a thousandth of one it is the bare unit."""
+    us = seconds * 1e6
+    for size, one, many in ((86400e6, "day", "days"), (3600e6, "hour", "hours"), (60e6, "minute", "minutes"), (1e6, "s", "s"), (1e3, "ms", "ms"), (1.0, "μs", "μs"), (1e-3, "ns", "ns")):
+        if us >= size or one == "ns":
+            n = us / size
+            return one if abs(1 - n) < 1e-3 else f"{n:.3f}".rstrip("0").rstrip(".") + f" {many}"
+    raise AssertionError
+
+
+def rate_label(seconds: float, unit: str | None = None, events: bool = False) -> tuple[str, str]:
+    """Label and units of a rate of packets, or of a volume in unit; coverage has no units."""
+    if events:
+        return "Coverage", ""
+    one = interval_label(seconds)
+    return f"Stream Volume ({unit or 'packets'}/{one})", f"{unit or 'packets'} {one}**-1"
 
 
 def width_properties(seconds: float, before: float | None = None) -> dict[str, str]:
-    """Stream properties after binning."""
-    return {"xTagWidth": f"{max(seconds, before or 0):g} s", "xCacheResolution": f"{seconds:g} s", "title_suffix": f" ({interval_label(seconds)} averages)"}
+    """Stream properties after binning; data already coarser than the bins keep their own resolution."""
+    width = max(seconds, before or 0)
+    return {"xTagWidth": f"{width:g} s", "xCacheResolution": f"{width:g} s", "xCacheResInfo": resolution_label(width)}
+
+
+def collapses(renderer: str, offsets: list[float], width: float) -> bool:
+    """Whether a scan is a waveform so short that a bin holds it whole."""
+    return renderer == "waveform" and bool(offsets) and max(offsets) - min(offsets) <= width
+
+
+def totals(df: DataFrame, size: Column, time: str | None = None) -> DataFrame:
+    """One row: records, bytes, seconds from the first to the last time, and kB a second."""
+    seconds = (F.max(micros(F.col(time))) - F.min(micros(F.col(time)))) / 1e6 if time else F.lit(None).cast("double")
+    d = df.agg(F.count(F.lit(1)).alias("packets"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), seconds.alias("seconds"))
+    return d.withColumn("kb_per_s", F.when(F.col("seconds") > 0, F.col("bytes") / 1024 / F.col("seconds")))
+
+
+def runs(df: DataFrame, order: list[str], keys: list[str], x: Column, width, value: str, first=None, version: Column | None = None) -> DataFrame:
+    """keys, run, bin, mean, n: one row each time the bin (or the type's version) changes in the stream's order.
+
+    Late records open their bin again, as a reader that emits on change would; order must be total
+    within keys, or rows of equal order may fall either way."""
+    from pyspark.sql import Window
+
+    first = origin(df, x) if first is None else first
+    w = Window.partitionBy(*keys).orderBy(*order)
+    mark = F.struct(F.col("bin"), (F.lit(0) if version is None else version).alias("v"))
+    d = df.withColumn("bin", bin_of(x, first or 0, width)).withColumn("mark", mark)
+    d = d.withColumn("new", F.when(F.lag("mark").over(w).eqNullSafe(F.col("mark")), 0).otherwise(1))
+    d = d.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "run", "bin").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -44,13 +44,17 @@ def array_transform(df: DataFrame, array: str, out: str, length: int, f) -> Data
 
     def run(batches):
         for b in batches:
-            rows = b.column(b.schema.get_field_index(array)).to_pylist()
-            good = [i for i, r in enumerate(rows) if r is not None and len(r) == length and None not in r]
-            res: list = [None] * len(rows)
-            if good:
-                for i, v in zip(good, f(np.array([rows[i] for i in good], float)), strict=True):
-                    res[i] = v
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(res, pa.list_(pa.float64()))], [*names, out])
+            a = b.column(b.schema.get_field_index(array))
+            # Rows of the right length lie apart in one flat buffer; they are reshaped together, without Python values.
+            offsets, flat = a.offsets.to_numpy(), a.values.cast(pa.float64())
+            nulls = np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))
+            size = offsets[1:] - offsets[:-1]
+            good = a.is_valid().to_numpy(zero_copy_only=False) & (size == length) & (nulls[offsets[1:]] == nulls[offsets[:-1]])
+            x = flat.to_numpy(zero_copy_only=False)[(offsets[:-1][good][:, None] + np.arange(length)).ravel()].reshape(-1, length)
+            y = f(x) if len(x) else np.empty((0, 1))
+            ends = np.concatenate(([0], np.cumsum(np.where(good, y.shape[1], 0)))).astype(np.int32)
+            res = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(y.ravel(), pa.float64()), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([*b.columns, res], [*names, out])
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
     return df.mapInArrow(run, f"{kinds}, `{out}` array<double>")
@@ -104,3 +108,65 @@ def series_windows(df: DataFrame, key: list[str], order: list[str], value: str,
     d = d.withColumn("win", F.explode(F.sequence(low, F.floor(F.col("n") / hop).cast("int"))))
     g = d.groupBy(*key, "win").agg(F.array_sort(F.collect_list(F.struct("n", F.col(value).alias("v")))).alias("x"))
     return g.where(F.size("x") == length).select(*key, "win", F.transform("x", lambda s: s["v"]).alias("values"))
+
+
+def components_of(x: np.ndarray, window: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Real and imaginary parts of the whole transform of rows."""
+    z = np.fft.fft(x * weights(x.shape[-1], window, "dft"), axis=-1)
+    return z.real, z.imag
+
+
+def power_ratio(x: np.ndarray, spectrum: np.ndarray, center: bool = True) -> np.ndarray:
+    """Summed density over the mean square of the input before windowing; 1 without a window."""
+    x = x - x.mean(axis=-1, keepdims=True) if center else x
+    return spectrum.sum(axis=-1) / (x**2).mean(axis=-1)
+
+
+def trim(df: DataFrame, array: str, low: float, high: float, axis: list[float]) -> tuple[DataFrame, list[float]]:
+    """df with the items of array whose axis value is in [low, high), and the axis left."""
+    keep = [i for i, f in enumerate(axis) if low <= f < high]
+    if not keep:
+        raise ValueError(f"no value of the axis in [{low}, {high})")
+    return df.withColumn(array, F.slice(array, keep[0] + 1, len(keep))), [axis[i] for i in keep]
+
+
+def density(units_in: str, interval: float, length: int, hertz: float = 1.0) -> tuple[float, str]:
+    """Factor that makes summed power a density per Hz, and the density's units."""
+    from ..functions import units
+
+    return length * interval / hertz, units.multiply(units.power(units_in, 2), "Hz**-1") if units_in else "Hz**-1"
+
+
+def series_psd(df: DataFrame, key: list[str], time: str, value: str, interval: float, length: int, slide: int = 1, window: str | None = "hann", center: bool = True, units_in: str = "", jitter: float = 0.01) -> DataFrame:
+    """Spectra of a series of single values: key, seg, win, t (centre of the window, seconds), psd (length / 2 + 1 densities).
+
+    Breaks of the cadence begin a new segment; each segment has windows of length rows, length //
+    slide apart, complete ones only. A window with a null has a null spectrum, and windows whose
+    spectrum is 0 throughout are left out. The frequency axis and units are the column's metadata."""
+    scale, out_units = density(units_in, interval, length)
+    seg = segments(df, key, [time], F.col(time), jitter)
+    w = Window.partitionBy(*key, "seg").orderBy(time)
+    rows = seg.withColumn("n", F.row_number().over(w) - 1)
+    hop = length // slide
+    low = F.greatest(F.lit(0), F.ceil((F.col("n") - length + 1) / hop)).cast("int")
+    rows = rows.withColumn("win", F.explode(F.sequence(low, F.floor(F.col("n") / hop).cast("int"))))
+    g = rows.groupBy(*key, "seg", "win").agg(F.array_sort(F.collect_list(F.struct("n", F.col(time).alias("t"), F.col(value).alias("v")))).alias("x")).where(F.size("x") == length)
+    g = g.select(*key, "seg", "win", (F.element_at("x", -1)["t"] - length / 2 * interval).alias("t"), F.transform("x", lambda s: s["v"]).alias("values"))
+    return _finished(psd(g, "values", "psd", length, window, center).drop("values"), "psd", scale, interval, length, out_units)
+
+
+def scan_psd(df: DataFrame, array: str, time: str, interval: float, length: int, slide: int = 1, window: str | None = "hann", center: bool = True, units_in: str = "") -> DataFrame:
+    """Spectra inside each scan: df's other columns, pos, time moved to the window's centre, and psd.
+
+    Windows with a null or beyond the scan's end have a null spectrum, and where it is 0 throughout
+    the row is left out. Its axis and units are the column's metadata."""
+    scale, out_units = density(units_in, interval, length)
+    d = sliding(df, array, length, slide).drop(array)
+    d = d.withColumn(time, F.col(time) + (F.col("pos") + length / 2) * interval)
+    return _finished(psd(d, "window", "psd", length, window, center).drop("window"), "psd", scale, interval, length, out_units)
+
+
+def _finished(d: DataFrame, out: str, scale: float, interval: float, length: int, out_units: str) -> DataFrame:
+    meta = {"units": out_units, "tags": [float(f) for f in frequencies(interval, length)], "tag_units": "Hz"}
+    d = d.where(F.col(out).isNull() | F.exists(out, lambda v: v != 0))
+    return d.withColumn(out, F.transform(out, lambda v: v * scale).alias(out, metadata=meta))

@@ -70,3 +70,108 @@ def as_of(df: DataFrame, table: DataFrame, time: str, at: str, keys: list[str],
     w = Window.partitionBy(*keys).orderBy("as_t", "as_o").rowsBetween(Window.unboundedPreceding, 0)
     u = a.unionByName(b).select("row", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
     return u.where("row is not null").select("row.*", *values)
+
+#: What a missing component is: radii of curved systems 1, others 0.
+_MISSING = {"ρ": 1.0, "r": 1.0}
+_TO_RECT = {"cylindrical": from_cylindrical, "spherical": from_spherical, "centric": from_latitudinal}
+_FROM_RECT = {"cylindrical": cylindrical, "spherical": spherical, "centric": latitudinal}
+
+
+def vector(parts: list[Column], system: str = "cartesian", order: tuple[int, ...] | None = None, frame: str = "", units: str = "") -> Column:
+    """A vector column: a struct in the order given, its system, order, frame and units in the metadata."""
+    names = SYSTEMS[system]
+    order = tuple(range(len(parts))) if order is None else order
+    if len(order) != len(parts) or len(set(order)) != len(order) or not set(order) <= {0, 1, 2}:
+        raise ValueError(f"bad component order {order}")
+    return F.struct(*[c.cast("double").alias(names[i]) for c, i in zip(parts, order, strict=True)]).alias("vector", metadata={"system": system, "order": list(order), "frame": frame, "units": units})
+
+
+def ordered(v: Column, system: str, order: tuple[int, ...]) -> tuple[Column, ...]:
+    """All three components in the system's own order; those the vector lacks are 0, radii 1."""
+    names = SYSTEMS[system]
+    return tuple(F.coalesce(v.getField(n), F.lit(_MISSING.get(n, 0.0))) if i in order else F.lit(_MISSING.get(n, 0.0) if system != "cartesian" else 0.0) for i, n in enumerate(names))
+
+
+def component(v: Column, name: str) -> Column:
+    """One component by name."""
+    return v.getField(name)
+
+
+def component_labels(name: str, system: str = "cartesian", order: tuple[int, ...] = (0, 1, 2), given: list[str] | None = None) -> list[str]:
+    """Labels of a vector's parts: the given ones, else the name with each part's symbol as index."""
+    if given:
+        if len(given) != len(order):
+            raise ValueError(f"{len(given)} labels for {len(order)} components")
+        return list(given)
+    return [f"{name}!b{SYSTEMS[system][i]}!n" for i in order]
+
+
+def to_rect(parts: tuple[Column, ...], system: str, radius: float | None = None, flattening: float = 0.0) -> tuple[Column, ...]:
+    """Cartesian components of any system; detic and graphic ones need the body's radius."""
+    if system == "cartesian":
+        return parts
+    if system in ("detic", "graphic"):
+        if radius is None:
+            raise ValueError(f"{system} coordinates need a body's radius")
+        alt, lon, lat = parts
+        lon = -lon if system == "graphic" else lon
+        e2 = flattening * (2 - flattening)
+        n = radius / F.sqrt(1 - e2 * F.sin(F.radians(lat)) ** 2)
+        p = (n + alt) * F.cos(F.radians(lat))
+        return p * F.cos(F.radians(lon)), p * F.sin(F.radians(lon)), (n * (1 - e2) + alt) * F.sin(F.radians(lat))
+    return _TO_RECT[system](*parts)
+
+
+def from_rect(parts: tuple[Column, ...], system: str, radius: float | None = None, flattening: float = 0.0) -> tuple[Column, ...]:
+    if system == "cartesian":
+        return parts
+    if system in ("detic", "graphic"):
+        if radius is None:
+            raise ValueError(f"{system} coordinates need a body's radius")
+        alt, lon, lat = geodetic(*parts, radius, flattening)
+        return alt, -lon if system == "graphic" else lon, lat
+    return _FROM_RECT[system](*parts)
+
+
+def rotate(df: DataFrame, name: str, matrices: DataFrame, time: str, out: str, out_frame: str, out_system: str = "cartesian", at: str = "at", shift: float = 0.0) -> DataFrame:
+    """df with out: the vector column in out_frame, by the latest matrix (m0 to m8, row by row) at or before time + shift seconds.
+
+    The vector's system, order and frame come from its metadata; curved systems are made Cartesian
+    first. Rows without a matrix of its frame and the wanted one get null. matrices has from_frame,
+    to_frame, at and m0 to m8, time in any numbers that time is of too."""
+    meta = df.schema[name].metadata
+    if out_system in ("detic", "graphic"):
+        raise ValueError(f"a rotation has no {out_system} output")
+    system, order = meta.get("system") or "cartesian", tuple(meta.get("order", (0, 1, 2)))
+    cells = [f"m{i}" for i in range(9)]
+    table = matrices.where((F.col("from_frame") == meta.get("frame", "")) & (F.col("to_frame") == out_frame)).select(F.lit(0).alias("k_"), F.col(at).alias("at_"), *[F.col(c).cast("double") for c in cells])
+    d = as_of(df.withColumn("k_", F.lit(0)).withColumn("t_", F.col(time) + shift), table, "t_", "at_", ["k_"], cells)
+    rect = to_rect(ordered(F.col(name), system, order), system)
+    turned = from_rect(rotated(rect, [F.col(c) for c in cells]), out_system)
+    made = F.when(F.col("m0").isNotNull() & F.col(name).isNotNull(), F.struct(*[c.alias(n) for c, n in zip(turned, SYSTEMS[out_system], strict=True)]))
+    return d.withColumn(out, made.alias(out, metadata=dict(meta) | {"frame": out_frame, "system": out_system, "order": [0, 1, 2]})).drop("k_", "t_", *cells)
+
+
+def locate(df: DataFrame, positions: DataFrame, time: str, body: str, frame: str, out: str, system: str = "cartesian", shift: float = 0.0, gap: float | None = None, radius: float | None = None, flattening: float = 0.0) -> DataFrame:
+    """df with out: the body's position in the frame at time + shift, between the table's rows by a straight line.
+
+    positions has body, frame, at, x, y and z. Beyond the table's ends, or where its rows lie over
+    gap apart, the position is null. One union and two running windows; cut long tables by a period
+    in the key."""
+    names = df.columns
+    p = positions.where((F.col("body") == body) & (F.col("frame") == frame)).select(F.col("at").cast("double").alias("at"), F.struct(F.col("at").cast("double").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).alias("p"))
+    a = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), (F.col(time) + shift).cast("double").alias("at"), F.lit(None).cast(p.schema["p"].dataType).alias("p"))
+    u = a.unionByName(p.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), "at", "p"))
+    w = Window.partitionBy(F.lit(0)).orderBy("at")
+    u = u.withColumn("lo", F.last("p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("row is not null")
+    lo, hi = F.col("lo"), F.col("hi")
+    part = F.when(hi["t"] > lo["t"], (F.col("at") - lo["t"]) / (hi["t"] - lo["t"])).otherwise(0.0)
+    rect = tuple(lo[c] + part * (hi[c] - lo[c]) for c in "xyz")
+    ok = lo.isNotNull() & hi.isNotNull() & (F.lit(True) if gap is None else hi["t"] - lo["t"] <= gap)
+    made = F.when(ok, F.struct(*[c.alias(n) for c, n in zip(from_rect(rect, system, radius, flattening), SYSTEMS[system], strict=True)]))
+    return u.select("row.*", made.alias(out, metadata={"frame": frame, "system": system, "order": [0, 1, 2], "units": "km", "body": body}))
+
+
+def frames_of(df: DataFrame) -> list[tuple[str, str, str]]:
+    """(column, frame, system) of every vector column."""
+    return [(f.name, f.metadata["frame"], f.metadata.get("system", "")) for f in df.schema.fields if f.metadata.get("frame")]
