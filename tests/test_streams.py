@@ -109,11 +109,18 @@ def test_version_3_files(spark, tmp_path):
         v3.headers(spark, f"{tmp_path}/*.d3t")
 
 
+def test_default_names(spark, tmp_path):
+    raw = packets.stream_header() + packets._tagged("01", '<packet><x type="time24" units="UTC"/><y type="sun_real4" name="b" units="V"/><y type="double" units="V"/><yscan type="ascii10" nitems="1" yTags="1"/></packet>')
+    (tmp_path / "a.d2t").write_bytes(raw)
+    df = packets.read(spark, f"{tmp_path}/a.d2t")[1]
+    assert packets.default_names(df).columns == ["time", "b", "Y_2", "YSCAN_1"]
+
+
 def test_version_2_names_tags_versions_and_events():
     raw = packets.stream_header() + packets._tagged("01", '<packet><x type="time24" units="UTC"/><y type="sun_real4" units="V"/><y type="double" units="V"/><yscan type="ascii10" nitems="3" yTagInterval="2" yTagMin="1"/></packet>')
     s = packets.parse_stream(raw + packets.progress(5) + packets.event("log", "me", "x") + packets.no_data("a", "b"))
     (p,) = s.types.values()
-    assert [x.name for x in p.planes] == ["time", "Y_1", "Y_2", "YSCAN_1"] and p.planes[3].tags == [1.0, 3.0, 5.0]
+    assert [x.name for x in p.planes] == ["x", "y", "y_2", "yscan"] and p.planes[3].tags == [1.0, 3.0, 5.0]
     assert [e[0] for e in s.events] == ["taskProgress", "log", "NoDataInInterval"]
     assert [e[0] for e in packets.parse_stream(raw + packets.progress(5), progress=False).events] == []
     row = ["2024-01-01T00:00:00.000", 1.5, None, [1.0, 2.0, 3.0]]
@@ -237,7 +244,7 @@ def test_array_helpers(spark):
 
 def test_labels():
     assert bins.resolution_label(60) == " (1.0 minute Averages)" and bins.resolution_label(0.5) == " (500 ms Averages)" and bins.resolution_label(86400 * 2) == " (2 day Averages)"
-    assert bins.interval_label(60) == "minute" and bins.interval_label(600) == "10 minutes" and bins.interval_label(5400) == "1.5 hours"
+    assert bins.axis_interval(60) == "minute" and bins.axis_interval(600) == "10 minutes" and bins.axis_interval(5400) == "1.5 hours"
     assert bins.rate_label(1) == ("Stream Volume (packets/s)", "packets s**-1") and bins.rate_label(1, events=True)[1] == ""
     assert bins.width_properties(60, 120)["xTagWidth"] == "120 s" and bins.collapses("waveform", [0, 1, 2], 5) and not bins.collapses("scan", [0, 1], 5)
 

@@ -129,7 +129,16 @@ def resolution_label(seconds: float) -> str:
 
 
 def interval_label(seconds: float) -> str:
-    """An interval for labels: s, 10 minutes, 1.5 hours, ...; within a thousandth of one it is the bare unit."""
+    """An interval in prose: 1 second, 10 minutes, ..."""
+    for size, name in ((86400, "day"), (3600, "hour"), (60, "minute"), (1, "second")):
+        if seconds >= size:
+            shown = f"{seconds / size:.3f}".rstrip("0").rstrip(".")
+            return f"{shown} {name}" + ("" if shown == "1" else "s")
+    return f"{seconds * 1000:g} milliseconds"
+
+
+def axis_interval(seconds: float) -> str:
+    """An interval for axis labels: s, 10 minutes, 1.5 hours, ...; within a thousandth of one it is the bare unit."""
     us = seconds * 1e6
     for size, one, many in ((86400e6, "day", "days"), (3600e6, "hour", "hours"), (60e6, "minute", "minutes"), (1e6, "s", "s"), (1e3, "ms", "ms"), (1.0, "μs", "μs"), (1e-3, "ns", "ns")):
         if us >= size or one == "ns":
@@ -142,7 +151,7 @@ def rate_label(seconds: float, unit: str | None = None, events: bool = False) ->
     """Label and units of a rate of packets, or of a volume in unit; coverage has no units."""
     if events:
         return "Coverage", ""
-    one = interval_label(seconds)
+    one = axis_interval(seconds)
     return f"Stream Volume ({unit or 'packets'}/{one})", f"{unit or 'packets'} {one}**-1"
 
 

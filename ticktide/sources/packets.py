@@ -41,6 +41,7 @@ class Plane:
     tags: list[float] = field(default_factory=list)
     encoding: str = "ascii"
     props: dict = field(default_factory=dict)
+    unnamed: bool = False
 
     @property
     def numpy(self) -> str | None:
@@ -95,14 +96,13 @@ def _plane(e: ET.Element, unnamed: str) -> Plane:
 
 
 def _planes(root: ET.Element) -> list[Plane]:
-    """Unnamed planes are time, Y_1, Z_1, YSCAN_1 and so on by place among their kind; names that clash get their place too."""
+    """Unnamed planes have their kind for a name; names that clash get their place too."""
     out: list[Plane] = []
     for e in root:
         kind = e.tag.lower()
         if kind in ("x", "y", "z", "yscan"):
-            n = sum(p.kind == kind for p in out) + 1
-            unnamed = ("time" if n == 1 else f"X_{n}") if kind == "x" else f"{kind.upper()}_{n}"
-            p = _plane(e, unnamed)
+            p = _plane(e, kind)
+            p.unnamed = not e.get("name")
             if any(p.name.lower() == o.name.lower() for o in out):
                 p.name = f"{p.name}_{len(out)}"
             out.append(p)
@@ -205,10 +205,22 @@ def schema(packet: Packet) -> T.StructType:
     cols = []
     for p in packet.planes:
         kind = T.StringType() if p.time else T.ArrayType(T.DoubleType()) if p.kind == "yscan" else T.DoubleType()
-        cols.append(T.StructField(p.name, kind, True, {"units": p.units, "fill": p.fill, "role": p.kind, "tags": p.tags}))
+        cols.append(T.StructField(p.name, kind, True, {"units": p.units, "fill": p.fill, "role": p.kind, "tags": p.tags, "unnamed": p.unnamed}))
     return T.StructType(cols)
 
 
+def default_names(df: DataFrame) -> DataFrame:
+    """df with its unnamed columns as time, Y_1, Z_1, YSCAN_1 and so on, by place among those of their kind."""
+    seen: dict[str, int] = {}
+    cols = []
+    for f in df.schema.fields:
+        kind = f.metadata.get("role", "")
+        seen[kind] = seen.get(kind, 0) + 1
+        given = ("time" if seen[kind] == 1 else f"X_{seen[kind]}") if kind == "x" else f"{kind.upper()}_{seen[kind]}"
+        cols.append(F.col(f"`{f.name}`").alias(given if f.metadata.get("unnamed") else f.name, metadata=f.metadata))
+    return df.select(*cols)
+
+
 def _cleared(fill: float):
     return lambda v: F.when(~is_fill(v, fill), v)
 
