@@ -385,3 +385,42 @@ def test_streaming_windows_and_runs(spark, tmp_path):
     assert sorted(r["values"] for r in got) == [[float(x) for x in range(a, a + 8)] for a in (0, 4, 8, 12)]
     runs = rows(live.run_bins, "runs", "k", "t", 5.0, "v")
     assert [(r["bin"], r["mean"], r["n"]) for r in sorted(runs, key=lambda r: r["bin"])] == [(0, 2.0, 5), (1, 7.0, 5), (2, 12.0, 5)]
+
+
+def test_stream_data_source(spark, tmp_path):
+    from ticktide.sources import datasource
+
+    v, values = SHAPES["vector"]
+    d = one(v, more=(QUALITY,))
+    for k in range(2):
+        (tmp_path / f"{k}.d3t").write_bytes(stream3(v3write.dataset_header(d), *[v3write.record(d, ["2024-05-23T02:58:59.466", x, 1.0]) for x in values]))
+    datasource.register(spark)
+    df = spark.read.format("ticktide_stream").option("set", "3").load(str(tmp_path))
+    assert df.count() == 4 and df.where("quality = 1").first()["b"].y in (1.0, 0.0)
+    with pytest.raises(packets.StreamError):
+        datasource.first_header(str(tmp_path), 9)
+
+
+def test_text_helpers_and_requests(spark):
+    from ticktide.functions import expressions, text
+    from ticktide.operators import select
+
+    d = spark.createDataFrame([("<a & 'b'>", "ff", 2020, 5, 1.5, True), (None, "zz", 2021, 12, 2.0, False)], "s string, h string, y int, m int, v double, ok boolean")
+    r = d.select(text.xml_unescaped(text.xml_escaped(F.col("s"))).alias("s"), text.to_base(F.col("h"), 16).alias("h"), text.PathTemplate("d/$Y/$m.dat").render(Y=F.col("y"), m=F.col("m")).alias("p"), expressions.loses(F.col("v"), "short").alias("lost")).collect()
+    assert tuple(r[0]) == ("<a & 'b'>", 255, "d/2020/05.dat", True) and tuple(r[1]) == (None, None, "d/2021/12.dat", False)
+    got = select.request(d, ["ok.eq.yes", "out.base"], {"h": ["ff"]}, {"base": ["y", "m"], "more": ["v"]})
+    assert got.columns == ["y", "m"] and got.count() == 1
+    for bad in (["h.eq.qq"], ["out.none"]):
+        with pytest.raises(ValueError):
+            select.request(d, bad, {"h": ["ff"]}, {"base": ["y"]})
+    t = spark.createDataFrame([("5-Jan-2020 10:00",), ("soon",), (None,)], "s string").select(timescales.parse_any(F.col("s")).alias("t"))
+    assert [x["t"] for x in t.collect()] == [datetime(2020, 1, 5, 10), None, None]
+    assert t.select(timescales.dual(F.col("t"), 1).alias("x")).first()["x"] == "2020-01-05 (005)T10:00:00.0"
+
+
+def test_materialized_and_grouped_frames(spark, tmp_path):
+    a = spark.range(3).toDF("x")
+    assert indices.materialized(a, f"{tmp_path}/m").count() == 3
+    got = indices.groups({"p": ("g", a), "q": ("g", a), "r": ("g", a.toDF("y"))})
+    assert got["g"].count() == 6 and got["r"].columns == ["y"]
+    assert a.select(indices.constant(2.5, "V")).schema["value"].metadata["units"] == "V"

@@ -263,3 +263,18 @@ def padded_range(spark, d):
     return select.time_range(_table(spark, d, "events"), "ts", low, high).select("event_id", "value")
 
 
+
+
+@query("WITH p AS (SELECT user_id, ts AS since, value AS price FROM events WHERE event_type = 'purchase') SELECT event_id, (SELECT arg_max(price, since) FROM p WHERE p.user_id = e.user_id AND p.since <= e.ts) AS price FROM events e")
+def as_of_value(spark, d):
+    """The price in force at each event, looked up by days with what each begins with carried over."""
+    e = _table(spark, d, "events")
+    p = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("since"), F.col("value").alias("price"))
+    return vectors.as_of(e.select("event_id", "user_id", "ts"), p, "ts", "since", ["user_id"], ["price"], 86400.0).select("event_id", "price")
+
+
+@query("SELECT vec_id, list_transform(list_concat(list_concat(embedding[1:2], [-1.0]), embedding[4:]), lambda x: round(CAST(x AS DOUBLE), 6))[3] AS put, -9.0::DOUBLE AS filled, CAST(64 AS INTEGER) AS before_, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings")
+def array_put_values(spark, d):
+    """What put and pad leave at the places they change and beside them."""
+    p = arrays.pad(arrays.put(F.col("embedding").cast("array<double>"), 2, -1.0), 66, -9.0)
+    return _table(spark, d, "embeddings").select("vec_id", F.get(p, F.lit(2)).alias("put"), F.get(p, F.lit(65)).alias("filled"), (F.array_position(p, -9.0) - 1).cast("int").alias("before_"), _rounded(F.get(p, F.lit(63))).alias("last"))

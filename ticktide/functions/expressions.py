@@ -67,3 +67,9 @@ def to_null(c: Column, fill: float) -> Column:
 
 def to_fill(c: Column, fill: float) -> Column:
     return F.coalesce(c, F.lit(fill))
+
+
+def loses(col: Column, to: str) -> Column:
+    """Whether a value in range changes when cast to a type of this module's names and back: it has digits the type lacks."""
+    cast = checked(col, to)
+    return F.coalesce(cast.cast("double") != col.cast("double"), F.lit(False))

@@ -27,6 +27,29 @@ def version_key(v: Column, kind: str = "sep") -> Column:
 FIELDS = {"Y": r"(\d{4})", "m": r"(\d{2})", "d": r"(\d{2})", "j": r"(\d{3})", "H": r"(\d{2})", "M": r"(\d{2})", "S": r"(\d{2})", "v": r"(\d[\w.]*?)", "x": r"([^/]*?)"}
 
 
+WIDTHS = {"Y": 4, "m": 2, "d": 2, "j": 3, "H": 2, "M": 2, "S": 2}
+_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
+
+
+def xml_escaped(s: Column) -> Column:
+    for sign, name in _ESCAPES:
+        s = F.replace(s, F.lit(sign), F.lit(name))
+    return s
+
+
+def xml_unescaped(s: Column) -> Column:
+    for sign, name in reversed(_ESCAPES):
+        s = F.replace(s, F.lit(name), F.lit(sign))
+    return s
+
+
+def to_base(s: Column, base: int) -> Column:
+    """Whole numbers written in a base from 2 to 36, with or without 0x; null for others."""
+    clean = F.regexp_replace(F.lower(F.trim(s)), "^0x", "") if base == 16 else F.lower(F.trim(s))
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
+    return F.when(clean.rlike(f"^-?[{digits}]+$"), F.conv(clean, base, -10).cast("long"))
+
+
 class PathTemplate:
     """Paths with $Y $m $d $j $H $M $S, $v (greatest version wins) and $x (last in order wins)."""
 
@@ -42,8 +65,10 @@ class PathTemplate:
         return {n: F.regexp_extract(path, self.regex, i + 1) for i, n in enumerate(self.names)}
 
     def render(self, **values: Column) -> Column:
-        parts = re.split(r"\$([A-Za-z])", self.pattern)
-        return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+        """The path of given fields; numbers of a date or time are padded with zeros to their width."""
+        parts = re.split(r"\$(?:\{|\()?([A-Za-z])[^/${}()]*?(?:\}|\)|(?=[^A-Za-z]|$)|)", self.pattern)
+        padded = lambda n: F.lpad(values[n].cast("string"), WIDTHS[n], "0") if n in WIDTHS else values[n].cast("string")
+        return F.concat(*[padded(x) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
 
     def matches(self, path: Column) -> Column:
         return path.rlike(self.regex)

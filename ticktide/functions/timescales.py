@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +94,11 @@ def _format(ts: Column, day: str, digits: int) -> Column:
     return F.date_format(t, f"{day}'T'HH:mm:ss" + ("." + "S" * min(digits, 6) if digits else ""))
 
 
+def dual(ts: Column, digits: int = 0) -> Column:
+    """yyyy-MM-dd (ddd)Thh:mm:ss: the day both as a date and by its number in the year."""
+    return _format(ts, "yyyy-MM-dd' ('DDD')'", digits)
+
+
 #: Formats tried in order by parse_time.
 FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-DDD'T'HH:mm:ss.SSSSSS", "yyyy-DDD'T'HH:mm:ss.SSS", "yyyy-DDD'T'HH:mm:ss", "yyyy-DDD'T'HH:mm", "yyyy-DDD", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "d-MMM-yyyy", "MMM d, yyyy")
 
@@ -272,3 +278,21 @@ def load_leaps(text: str) -> tuple[tuple[str, int], ...]:
     if not out:
         raise ValueError("no leap seconds found")
     return tuple(sorted(out))
+
+
+def parse_any(s: Column) -> Column:
+    """Timestamps of times written in any way that fields() reads, in Arrow batches; null for others.
+
+    For columns of known forms parse_time stays in the JVM and is quicker."""
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return parse_micros(v) if v is not None else None
+            except ValueError:
+                return None
+
+        return x.map(one).astype("Int64")
+
+    return F.timestamp_micros(run(s)).cast("timestamp_ntz")

@@ -70,6 +70,30 @@ def collapse(df: DataFrame, wave: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode(wave)).drop(wave)
 
 
+def goes_back(df: DataFrame, order: list[str], x: Column) -> bool:
+    """Whether x decreases anywhere in the order: ranges of it are looked through apart, then their ends compared."""
+    d = df.select(*order, x.cast("double").alias("x_")).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = d.columns.index("x_")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        first = last = None
+        bad = False
+        for b in batches:
+            v = b.column(at).to_numpy(zero_copy_only=False)
+            if len(v):
+                bad = bad or bool((np.diff(v) < 0).any()) or last is not None and v[0] < last
+                first, last = v[0] if first is None else first, v[-1]
+        if first is not None:
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "first": float(first), "last": float(last), "bad": bad}])
+
+    ends = sorted(d.mapInArrow(run, "part long, first double, last double, bad boolean").collect())
+    return any(e["bad"] for e in ends) or any(a["last"] > b["first"] for a, b in zip(ends, ends[1:], strict=False))
+
+
 #: Bins that one task of a dense rate makes.
 SPAN = 1 << 16
 
@@ -79,17 +103,14 @@ def rates(df: DataFrame, x: Column, width, dense: bool = True, events: bool = Fa
 
     dense gives every bin from the least to the greatest, 0 where nothing is, made in tasks of SPAN
     bins; events gives 1.0 for each of them instead. Records without x are left out. With order, the
-    stream's own order within its partitions' ranges, a time that goes back raises when read."""
-    from pyspark.sql import Window
-
+    stream's own order, a time that goes back raises."""
     if first is None or dense:
         low, high = df.agg(F.min(x), F.max(x)).first()
         first = low if first is None else first
     d = df.where(x.isNotNull())
     if order is not None:
-        w = Window.partitionBy(F.lit(0)).orderBy(*order)
-        d = d.withColumn("before_", F.lag(x).over(w))
-        d = d.where(F.when(F.col("before_") > x, F.raise_error(F.lit("time goes back")).cast("boolean")).otherwise(True))
+        if goes_back(d, order, x):
+            raise ValueError("time goes back")
     counted = d.withColumn("bin", bin_of(x, first or 0, width)).groupBy("bin").agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("n"))
     if dense:
         spark = df.sparkSession

@@ -45,3 +45,24 @@ def union_packets(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def request(df: DataFrame, arguments: list[str], enums: dict[str, list[str]] | None = None, outputs: dict[str, list[str]] | None = None) -> DataFrame:
+    """df by a reader's arguments: key.op.value selectors, and out.NAME for the groups of columns to give.
+
+    enums lists the values a key may be compared with, others raise; outputs names groups of
+    columns, all of which are given where no out argument is. A selector's value of yes, no, on or
+    off is a truth value for boolean columns."""
+    chosen = [a.split(".", 1)[1] for a in arguments if a.startswith("out.")]
+    tests = [a for a in arguments if not a.startswith("out.")]
+    for i, a in enumerate(tests):
+        key, op, value = a.split(".", 2)
+        if enums and key in enums and value not in enums[key]:
+            raise ValueError(f"{key} is one of {enums[key]}, not {value!r}")
+        if key in df.columns and df.schema[key].dataType.simpleString() == "boolean" and value.lower() in ("yes", "no", "on", "off"):
+            tests[i] = f"{key}.{op}.{'true' if value.lower() in ('yes', 'on') else 'false'}"
+    unknown = set(chosen) - set(outputs or {})
+    if unknown:
+        raise ValueError(f"no outputs {sorted(unknown)}")
+    columns = list(dict.fromkeys(c for n in chosen or (outputs or {}) for c in (outputs or {})[n]))
+    return select_where(df, tests, columns or None)

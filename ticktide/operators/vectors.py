@@ -61,15 +61,45 @@ def rotated(v: tuple[Column, Column, Column], m: list[Column]) -> tuple[Column,
     return tuple(m[3 * i] * v[0] + m[3 * i + 1] * v[1] + m[3 * i + 2] * v[2] for i in range(3))
 
 
-def as_of(df: DataFrame, table: DataFrame, time: str, at: str, keys: list[str], values: list[str]) -> DataFrame:
-    """df with the table's values of the latest row of the same keys at or before time.
+#: Periods that a lookup without other keys cuts its table's time into.
+PERIODS = 256
 
-    One union and one window over keys: no range join. values must be no columns of df."""
-    a = df.select(F.struct(*df.columns).alias("row"), *keys, F.col(time).alias("as_t"), F.lit(1).alias("as_o"), *[F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values])
+
+def _seconds(c: Column, kind) -> Column:
+    return (F.unix_micros(c.cast("timestamp")) / 1e6) if kind.typeName().startswith("timestamp") else c.cast("double")
+
+
+def as_of(df: DataFrame, table: DataFrame, time: str, at: str, keys: list[str], values: list[str], period: float | None = None) -> DataFrame:
+    """df with the table's values of the latest row of the same keys at or before time; of nulls the latest value that is none.
+
+    One union and one window over keys: no range join. With period (seconds, or units of time's
+    numbers) each window spans one period of a key, and what a period begins with is carried over
+    from a table of one row a period, so long series of few keys are many tasks. values must be no
+    columns of df."""
+    a = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys, F.col(time).alias("as_t"), F.lit(1).alias("as_o"), *[F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values])
     b = table.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *keys, F.col(at).alias("as_t"), F.lit(0).alias("as_o"), *values)
-    w = Window.partitionBy(*keys).orderBy("as_t", "as_o").rowsBetween(Window.unboundedPreceding, 0)
-    u = a.unionByName(b).select("row", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
-    return u.where("row is not null").select("row.*", *values)
+    u = a.unionByName(b)
+    upto = Window.unboundedPreceding, 0
+    if period is None:
+        w = Window.partitionBy(*keys).orderBy("as_t", "as_o").rowsBetween(*upto)
+        return u.select("row", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values]).where("row is not null").select("row.*", *values)
+    u = u.withColumn("as_p", F.floor(_seconds(F.col("as_t"), u.schema["as_t"].dataType) / period))
+    w = Window.partitionBy(*keys, "as_p").orderBy("as_t", "as_o").rowsBetween(*upto)
+    within = u.select("row", *keys, "as_p", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values]).where("row is not null")
+    ends = u.groupBy(*keys, "as_p").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("as_t"))).alias(f"end_{v}") for v in values])
+    e = Window.partitionBy(*keys).orderBy("as_p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"key_{k}") for k in keys], F.col("as_p").alias("end_p"), *[F.last(f"end_{v}", ignorenulls=True).over(e).alias(f"end_{v}") for v in values])
+    on = F.col("as_p").eqNullSafe(F.col("end_p"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"key_{k}"))
+    return within.join(ends, on, "left").select("row.*", *[F.coalesce(v, f"end_{v}").alias(v) for v in values])
+
+
+def _period(table: DataFrame, at: str) -> float:
+    """A period that cuts the table's time into PERIODS; 1 for tables without extent."""
+    low, high = table.agg(F.min(at), F.max(at)).first()
+    return (float(high) - float(low)) / PERIODS or 1.0 if low is not None else 1.0
+
 
 #: What a missing component is: radii of curved systems 1, others 0.
 _MISSING = {"ρ": 1.0, "r": 1.0}
@@ -145,7 +175,7 @@ def rotate(df: DataFrame, name: str, matrices: DataFrame, time: str, out: str, o
     system, order = meta.get("system") or "cartesian", tuple(meta.get("order", (0, 1, 2)))
     cells = [f"m{i}" for i in range(9)]
     table = matrices.where((F.col("from_frame") == meta.get("frame", "")) & (F.col("to_frame") == out_frame)).select(F.lit(0).alias("k_"), F.col(at).alias("at_"), *[F.col(c).cast("double") for c in cells])
-    d = as_of(df.withColumn("k_", F.lit(0)).withColumn("t_", F.col(time) + shift), table, "t_", "at_", ["k_"], cells)
+    d = as_of(df.withColumn("k_", F.lit(0)).withColumn("t_", F.col(time) + shift), table, "t_", "at_", ["k_"], cells, _period(table, "at_"))
     rect = to_rect(ordered(F.col(name), system, order), system)
     turned = from_rect(rotated(rect, [F.col(c) for c in cells]), out_system)
     made = F.when(F.col("m0").isNotNull() & F.col(name).isNotNull(), F.struct(*[c.alias(n) for c, n in zip(turned, SYSTEMS[out_system], strict=True)]))
@@ -156,20 +186,19 @@ def locate(df: DataFrame, positions: DataFrame, time: str, body: str, frame: str
     """df with out: the body's position in the frame at time + shift, between the table's rows by a straight line.
 
     positions has body, frame, at, x, y and z. Beyond the table's ends, or where its rows lie over
-    gap apart, the position is null. One union and two running windows; cut long tables by a period
-    in the key."""
+    gap apart, the position is null. Two lookups, back and forth in time, cut by periods."""
     names = df.columns
-    p = positions.where((F.col("body") == body) & (F.col("frame") == frame)).select(F.col("at").cast("double").alias("at"), F.struct(F.col("at").cast("double").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).alias("p"))
-    a = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), (F.col(time) + shift).cast("double").alias("at"), F.lit(None).cast(p.schema["p"].dataType).alias("p"))
-    u = a.unionByName(p.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), "at", "p"))
-    w = Window.partitionBy(F.lit(0)).orderBy("at")
-    u = u.withColumn("lo", F.last("p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("row is not null")
+    p = positions.where((F.col("body") == body) & (F.col("frame") == frame)).select(F.lit(0).alias("k_"), F.col("at").cast("double").alias("at_"), (-F.col("at").cast("double")).alias("ta_"), F.struct(F.col("at").cast("double").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).alias("lo"))
+    period = _period(p, "at_")
+    d = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.lit(0).alias("k_"), (F.col(time) + shift).cast("double").alias("at"))
+    d = as_of(d, p, "at", "at_", ["k_"], ["lo"], period).withColumn("ta", -F.col("at"))
+    u = as_of(d, p.withColumnRenamed("lo", "hi"), "ta", "ta_", ["k_"], ["hi"], period)
     lo, hi = F.col("lo"), F.col("hi")
     part = F.when(hi["t"] > lo["t"], (F.col("at") - lo["t"]) / (hi["t"] - lo["t"])).otherwise(0.0)
     rect = tuple(lo[c] + part * (hi[c] - lo[c]) for c in "xyz")
     ok = lo.isNotNull() & hi.isNotNull() & (F.lit(True) if gap is None else hi["t"] - lo["t"] <= gap)
     made = F.when(ok, F.struct(*[c.alias(n) for c, n in zip(from_rect(rect, system, radius, flattening), SYSTEMS[system], strict=True)]))
-    return u.select("row.*", made.alias(out, metadata={"frame": frame, "system": system, "order": [0, 1, 2], "units": "km", "body": body}))
+    return u.select("row_.*", made.alias(out, metadata={"frame": frame, "system": system, "order": [0, 1, 2], "units": "km", "body": body}))
 
 
 def frames_of(df: DataFrame) -> list[tuple[str, str, str]]:

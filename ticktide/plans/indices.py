@@ -134,3 +134,14 @@ def replaced(df: DataFrame, name: str, values: Column) -> DataFrame:
 def expression(op: str, left: str, right: str, factor: float = 1.0) -> str:
     """Printable form of a binary variable, the right side's unit factor shown where it isn't 1."""
     return f"({left} {op} {right})" if factor == 1.0 else f"({left} {op} {factor:.6e}*{right})"
+
+
+def materialized(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read back: what it is derived from isn't computed again; path is one that all machines share."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def constant(value, units: str = "", name: str = "value") -> Column:
+    """The same value at any index, with its units."""
+    return F.lit(value).alias(name, metadata={"units": units, "index": []})
