@@ -96,7 +96,7 @@ def _format(ts: Column, day: str, digits: int) -> Column:
 
 def dual(ts: Column, digits: int = 0) -> Column:
     """yyyy-MM-dd (ddd)Thh:mm:ss: the day both as a date and by its number in the year."""
-    return _format(ts, "yyyy-MM-dd' ('DDD')'", digits)
+    return _format(ts, "yyyy-MM-dd (DDD)", digits)
 
 
 #: Formats tried in order by parse_time.
