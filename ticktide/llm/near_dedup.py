@@ -23,8 +23,8 @@ SIFT = 0.62
 BLOCK = 2048
 #: Pairs of one node that meet its set in one group; a node of more has its set copied to as many groups.
 CHUNK = 512
-#: Document ids up to which those whose sets are needed are broadcast (16 bytes each); more meet the texts in a join.
-MOST_IDS = 2_000_000
+#: Rows of an id and two nodes (about 100 bytes each) up to which those whose sets are needed are broadcast.
+MOST_WANTED = 1_000_000
 VOCAB = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -123,11 +123,22 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _sets(width: int):
+    """Sets of the texts wanted as some node, beside what they are wanted for; texts of another node that shares the id are left out."""
+
     def run(batches):
-        shingles = Shingles(width)
+        shingles, last, node, found = Shingles(width), None, None, b""
         for b in batches:
-            sets = [shingles.of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            u, v, out = [], [], []
+            for text, at, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                # A text that several pairs want comes several times in a row.
+                if text != last:
+                    s = shingles.of(text)
+                    last, node, found = text, _digest(s), s.tobytes()
+                if node == wanted:
+                    u.append(at)
+                    v.append(wanted)
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(out, pa.binary())], ["u", "v", "shingles"])
 
     return run
 
@@ -205,20 +216,49 @@ def _hot(pairs: DataFrame, key: str) -> DataFrame:
     return hot.select("hot", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and their sets su and sv; a node of many pairs has its set copied, so no group is large.
+def _busier_first(pairs: DataFrame) -> DataFrame:
+    """Pairs with the node of more pairs as u, as a v's set goes to each of its pairs."""
+    n = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    d = pairs.join(n.toDF("u", "nu"), "u").join(n.toDF("v", "nv"), "v")
+    swap = F.col("nv") > F.col("nu")
+    return d.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
+
+
+def _with_sets(pairs: DataFrame, texts: DataFrame, low: DataFrame, width: int) -> DataFrame:
+    """u, v and their sets su and sv of staged pairs; low has each node's least id, texts ids and texts.
+
+    One scan makes each v's set once a pair and each u's set once, so a set meets its pairs in one
+    shuffle; a u of many pairs has its set copied, so no group is large. Wanted ids are broadcast up
+    to MOST_WANTED rows; more meet the texts in a join."""
+    ends = pairs.select(F.lit(None).cast("binary").alias("at"), F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("u").alias("at"), F.col("v").alias("node")))
+    wanted = stage(ends.join(low, "node").select(F.col("low").alias("wanted"), "at", "node"), "wanted")
+    small = wanted.count() <= MOST_WANTED
+    named = wanted.where(F.col("wanted").isNotNull())
+    found = texts.join(F.broadcast(named) if small else named, texts["id"] == named["wanted"]).select("text", "at", "node")
+    bare = wanted.where(F.col("wanted").isNull())
+    if not bare.isEmpty():
+        # Nodes whose documents all have no id: their texts are told by the node itself.
+        found = found.unionByName(_unnamed(texts.where(F.col("id").isNull()).select("text"), bare, width))
+    sets = stage(found.mapInArrow(_sets(width), "u binary, v binary, shingles binary"), "sets")
+    if sets.count() != sets.select("u", "v").distinct().count():
+        sets = sets.dropDuplicates(["u", "v"])
+    hot = _hot(pairs, "u")
+    parts = F.coalesce("parts", F.lit(1))
+    left = sets.where(F.col("u").isNotNull()).join(hot, F.col("u") == F.col("hot"), "left").select("u", "v", F.col("shingles").alias("sv"), F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
+    right = sets.where(F.col("u").isNull()).join(hot, F.col("v") == F.col("hot"), "left").select(F.col("v").alias("node"), F.col("shingles").alias("su"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("on"))
+    return left.join(right, (F.col("u") == F.col("node")) & (F.col("part") == F.col("on"))).select("u", "v", "su", "sv")
+
+
+def _unnamed(texts: DataFrame, bare: DataFrame, width: int) -> DataFrame:
+    """text, at and node of texts without id that are wanted: they are digested first, equal texts once."""
+
+    def run(batches):
+        shingles = Shingles(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(shingles.of(t)) for t in b.column(0).to_pylist()], pa.binary())], ["text", "of"])
 
-    pairs is read several times and should be staged."""
-    parts, hots = F.coalesce("parts", F.lit(1)), {k: _hot(pairs, k) for k in "uv"}
-    for key, other in (("v", "u"), ("u", "v")):
-        hot = hots[key]
-        pairs = pairs.join(hot, pairs[key] == hot["hot"], "left").withColumn(f"{key}_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("hot", "parts")
-    for key in ("v", "u"):
-        hot = hots[key]
-        right = sets.select(F.col("node").alias("at"), F.col("shingles").alias(f"s{key}")).join(hot, F.col("at") == F.col("hot"), "left")
-        right = right.select("at", f"s{key}", F.explode(F.sequence(F.lit(0), parts - 1)).alias("on"))
-        pairs = pairs.join(right, (pairs[key] == right["at"]) & (pairs[f"{key}_part"] == right["on"])).drop("at", "on")
-    return pairs.select("u", "v", "su", "sv")
+    known = texts.mapInArrow(run, "text string, of binary")
+    return known.join(bare, F.col("of") == F.col("node")).select("text", "at", "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
@@ -257,14 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        # Only the nodes of these pairs have their sets made again, from the document of least id of each.
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = stage(ends.join(nodes.select("node", "low"), "node").select(F.col("low").alias("wanted")).distinct(), "wanted")
-        if wanted.count() <= MOST_IDS:
-            wanted = F.broadcast(wanted)
-        chosen = texts.join(wanted, texts["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-        sets = stage(chosen.mapInArrow(_sets(width), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
-        return stage(_with_sets(pairs, sets).mapInArrow(_confirm(percent), "u binary, v binary"), "links")
+        return stage(_with_sets(pairs, texts, nodes.select("node", "low"), width).mapInArrow(_confirm(percent), "u binary, v binary"), "links")
 
     links = confirm(best)
     label = components(links)
@@ -282,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     cross = left.unionByName(right).repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_cross(most), "u binary, v binary")
     cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = confirm(stage(cross.join(tried, ["u", "v"], "left_anti"), "pairs"))
+    more = confirm(stage(_busier_first(stage(cross.join(tried, ["u", "v"], "left_anti"), "pairs")), "pairs"))
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
