@@ -424,3 +424,22 @@ def test_materialized_and_grouped_frames(spark, tmp_path):
     got = indices.groups({"p": ("g", a), "q": ("g", a), "r": ("g", a.toDF("y"))})
     assert got["g"].count() == 6 and got["r"].columns == ["y"]
     assert a.select(indices.constant(2.5, "V")).schema["value"].metadata["units"] == "V"
+
+
+def test_following_a_folder_of_streams(spark, tmp_path):
+    from ticktide.streaming import bins as live
+
+    d = one(QUALITY)
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        rows = [v3write.record(d, [f"2024-05-23T0{k}:00:0{i}.000", float(i % 2)]) for i in range(4)]
+        (tmp_path / f"in/{k}.d3t").write_bytes(stream3(v3write.dataset_header(d), *rows))
+    df = v3.follow(spark, f"{tmp_path}/in", per_batch=2)[3]
+
+    def rows(f, name):
+        q = f.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").outputMode("complete").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert {(r["value"], r["n"]) for r in rows(live.histogram(df.withColumn("i", F.lit(0)), "i", "quality"), "values_so_far")} == {(0.0, 6), (1.0, 6)}
+    assert sorted(r["rate"] for r in rows(live.rates(df, "time", 3600.0), "rates_so_far")) == [4, 4, 4]

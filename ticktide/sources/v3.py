@@ -424,10 +424,12 @@ def headers(spark: SparkSession, path: str) -> dict[int, Dataset]:
     return {k: dataset(k, bytes(x)) for k, x in sorted(found.items())}
 
 
-def decode(spark: SparkSession, path: str, sets: dict[int, Dataset] | None = None) -> tuple[DataFrame, dict[int, Dataset]]:
-    """One frame of all records, set (id) and a struct column per dataset, decoded once; and the datasets."""
+def decode(spark: SparkSession, path: str, sets: dict[int, Dataset] | None = None, files: DataFrame | None = None) -> tuple[DataFrame, dict[int, Dataset]]:
+    """One frame of all records, set (id) and a struct column per dataset, decoded once; and the datasets.
+
+    files may give the streams' bytes in its column content, unbounded too."""
     sets = headers(spark, path) if sets is None else sets
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content") if files is None else files.select("content")
     kind = T.StructType([T.StructField("set", T.LongType()), *[T.StructField(f"d{k}", schema(d)) for k, d in sets.items()]])
 
     def run(batches):
@@ -457,8 +459,20 @@ def _plain(v: Variable, x, depth: int):
 
 
 def read(spark: SparkSession, path: str) -> dict[int, DataFrame]:
-    """A frame per dataset; calendar values become timestamps, and a lone dataset is read without a filter by id."""
-    rows, sets = decode(spark, path)
+    """A frame per dataset; calendar values become timestamps."""
+    return _frames(*decode(spark, path))
+
+
+def follow(spark: SparkSession, path: str, sets: dict[int, Dataset] | None = None, per_batch: int = 100) -> dict[int, DataFrame]:
+    """A streaming frame per dataset of the files that come to a folder, at most per_batch of them a batch.
+
+    sets are the datasets to expect, those of the files already there by default; records of others are left out."""
+    sets = headers(spark, path) if sets is None else sets
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).load(path)
+    return _frames(*decode(spark, path, sets, files))
+
+
+def _frames(rows: DataFrame, sets: dict[int, Dataset]) -> dict[int, DataFrame]:
     out = {}
     for k, d in sets.items():
         s = schema(d)

@@ -118,3 +118,14 @@ def each_batch(stream: DataFrame, handlers: dict[str, object], column: str, chec
             df.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
+
+def histogram(stream: DataFrame, item: str, value: str) -> DataFrame:
+    """item, value, n of all records so far; start it in complete or update mode. Its state is one row a distinct value."""
+    return stream.where(F.col(value).isNotNull()).groupBy(F.col(item).alias("item"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rates(stream: DataFrame, time: str, seconds: float, first: int = 0) -> DataFrame:
+    """bin and rate, records of each bin so far, counted from first (microseconds since 1970); start it in complete or update mode."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    return stream.where(F.col(time).isNotNull()).groupBy(F.floor((us - first) / int(seconds * 1_000_000)).alias("bin")).agg(F.count(F.lit(1)).alias("rate"))
