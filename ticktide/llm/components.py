@@ -11,12 +11,12 @@ from .common import stage
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    star = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    star = edges.join(low.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return star.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 

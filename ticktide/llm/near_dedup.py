@@ -219,7 +219,7 @@ def _hot(pairs: DataFrame, key: str) -> DataFrame:
 def _busier_first(pairs: DataFrame) -> DataFrame:
     """Pairs with the node of more pairs as u, as a v's set goes to each of its pairs."""
     n = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    d = pairs.join(n.toDF("u", "nu"), "u").join(n.toDF("v", "nv"), "v")
+    d = pairs.join(n.toDF("u", "nu").hint("merge"), "u").join(n.toDF("v", "nv").hint("merge"), "v")
     swap = F.col("nv") > F.col("nu")
     return d.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
 
@@ -231,7 +231,7 @@ def _with_sets(pairs: DataFrame, texts: DataFrame, low: DataFrame, width: int) -
     shuffle; a u of many pairs has its set copied, so no group is large. Wanted ids are broadcast up
     to MOST_WANTED rows; more meet the texts in a join."""
     ends = pairs.select(F.lit(None).cast("binary").alias("at"), F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("u").alias("at"), F.col("v").alias("node")))
-    wanted = stage(ends.join(low, "node").select(F.col("low").alias("wanted"), "at", "node"), "wanted")
+    wanted = stage(ends.join(low.hint("merge"), "node").select(F.col("low").alias("wanted"), "at", "node"), "wanted")
     small = wanted.count() <= MOST_WANTED
     named = wanted.where(F.col("wanted").isNotNull())
     found = texts.join(F.broadcast(named) if small else named, texts["id"] == named["wanted"]).select("text", "at", "node")
@@ -287,11 +287,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = stage(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(members.join(buckets, "bucket"), "members")
+    members = stage(members.join(buckets.hint("merge"), "bucket"), "members")
 
     best = members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    sketch = nodes.select("node", "sketch")
-    best = best.join(sketch.toDF("u", "su"), "u").join(sketch.toDF("v", "sv"), "v").withColumn("odd", _odd("su", "sv")).where(F.col("odd") <= most)
+    # The joins are the same at every size: these tables grow with the documents, so none is broadcast.
+    sketch = nodes.select("node", "sketch").hint("merge")
+    best = best.join(sketch.toDF("u", "su").hint("merge"), "u").join(sketch.toDF("v", "sv").hint("merge"), "v").withColumn("odd", _odd("su", "sv")).where(F.col("odd") <= most)
     best = stage(best.groupBy("v").agg(F.min(F.struct("odd", "u")).alias("x")).select("x.u", "v"), "stars")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     links = confirm(best)
     label = components(links)
-    held = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = members.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     size = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n_all"))
     size = size.where("most.k < n_all").select("bucket", F.col("most.label").alias("big"), (F.col("n_all") - F.col("most.k")).alias("n_small"))
     held = held.select("bucket", "node", "label", "n").join(size, "bucket").join(sketch, "node").withColumn("small", F.col("label") != F.col("big"))
@@ -315,14 +316,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     cross = left.unionByName(right).repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_cross(most), "u binary, v binary")
     cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = confirm(stage(_busier_first(stage(cross.join(tried, ["u", "v"], "left_anti"), "pairs")), "pairs"))
+    more = confirm(stage(_busier_first(stage(cross.join(tried.hint("merge"), ["u", "v"], "left_anti"), "pairs")), "pairs"))
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
-    of = nodes.select("node", "low").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = nodes.select("node", "low").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("low").alias("component"))
-    of = stage(of.join(least, "label").select("node", "component"), "components")
-    out = sig.select("id", "n_shingles", "node").join(of, "node", "left")
+    of = stage(of.join(least.hint("merge"), "label").select("node", "component"), "components")
+    out = sig.select("id", "n_shingles", "node").join(of.hint("merge"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.when(F.col("n_shingles") == 0, True).otherwise(F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
 
