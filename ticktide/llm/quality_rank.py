@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-#: Labelled documents that fitting may use, taken by hash order, and preference pairs drawn from them.
-FIT_ROWS, FIT_PAIRS = 20_000, 100_000
+#: As how many preference pairs all of them count beside the ridge.
+FIT_PAIRS = 100_000
+#: Scores in one such bin meet others at their mean while fitting.
+WIDTH = 1 / 32
+#: Bins of a step towards the quantile, values that are gathered for it, and tasks of a pass over the labelled rows.
+STEPS, FEW, TASKS = 4096, 10_000, 16
 FEATURES = ("words", "word_length", "upper", "symbols", "digits", "marks", "shouts", "distinct", "echoes", "dup_lines", "line_words", "stops", "long_words", "ascii")
 
 
@@ -46,31 +52,143 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
+def _merge(a: dict, b: dict) -> dict:
+    """Sums, least or greatest values by key, as the key's first letter says."""
+    for k, v in b.items():
+        a[k] = v if k not in a else a[k] + v if k[0] == "+" else np.minimum(a[k], v) if k[0] == "<" else np.maximum(a[k], v)
+    return a
+
+
+def gather(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict]) -> dict:
+    """f over x and y of all rows, batch by batch; only the merged results of tasks reach the driver."""
+
+    def run(batches):
+        found: dict = {}
+        for b in batches:
+            if b.num_rows:
+                _merge(found, f(np.array(b.column(0).to_pylist(), float), b.column(1).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["found"])
+
+    out: dict = {}
+    for r in rows.select("x", "y").coalesce(TASKS).mapInArrow(run, "found binary").collect():
+        _merge(out, pickle.loads(r["found"]))
+    return out
+
+
 class BradleyTerry:
-    """Scores w.x with P(i before j) = sigmoid(w.(x_i - x_j)), fitted by Newton steps with a ridge."""
+    """Scores w.x with P(i before j) = sigmoid(w.(x_i - x_j)), fitted by Newton steps with a ridge.
+
+    All pairs of a good and a bad row count, together as FIT_PAIRS; with pairs, that many drawn ones do instead."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = FIT_PAIRS, ridge: float = 5.0, seed: int = 7):
-        self.mean, self.spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-        self.w, self.cut, self.scale = np.zeros(len(FEATURES)), 0.0, 1.0
+    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int | None = None, ridge: float = 5.0, seed: int = 7):
+        if pairs is None:
+            return self._fit(lambda f: f(x, y) if len(x) else {}, ridge)
+        self._start(len(x), x.sum(0), (x**2).sum(0), int((y == 1).sum()))
         z = self._z(x) if len(x) else x
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        self.share = len(good) / len(y) if len(y) else 1.0
         if not len(good) or not len(bad):
             return
         rng = np.random.default_rng(seed)
         d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+        self._climb(lambda w: self._step(w, d, 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))), ridge)
+        self._place(lambda f: f(x, y), len(x), len(bad))
+
+    @classmethod
+    def over(cls, rows: DataFrame, ridge: float = 5.0) -> BradleyTerry:
+        """Fitted on x and y of all rows, in some twenty passes over them; rows are best staged."""
+        model = cls.__new__(cls)
+        model._fit(lambda f: gather(rows, f), ridge)
+        return model
+
+    def _start(self, n: int, total, squares, good: int) -> None:
+        size = len(FEATURES)
+        self.mean, self.spread = (total / n, np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0)) + 1e-9) if n else (np.zeros(size), np.ones(size))
+        self.w, self.cut, self.scale = np.zeros(size), 0.0, 1.0
+        self.share = good / n if n else 1.0
+
+    @staticmethod
+    def _step(w: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the likelihood of drawn pairs."""
+        return d.T @ (1 - p), (d * (p * (1 - p))[:, None]).T @ d
+
+    def _climb(self, step, ridge: float) -> None:
         for _ in range(12):
-            p = 1 / (1 + np.exp(-np.clip(d @ self.w, -30, 30)))
-            step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(d.shape[1]), d.T @ (1 - p) - ridge * self.w)
-            self.w += step
-            if np.abs(step).max() < 1e-6:
+            slope, curve = step(self.w)
+            move = np.linalg.solve(curve + ridge * np.eye(len(self.w)), slope - ridge * self.w)
+            self.w = self.w + move
+            if np.abs(move).max() < 1e-6:
                 break
-        s = z @ self.w
-        # The quantile that leaves the share of good documents above it, midway between its neighbours.
-        s_ = np.sort(s)
-        k = min(max(len(bad), 1), len(s_) - 1)
-        self.cut = float(s_[k - 1] + s_[k]) / 2
-        self.scale = float(np.std(s) + 1e-9) / 2
+
+    def _fit(self, over: Callable, ridge: float) -> None:
+        """Fits on all rows that over runs a function on: over(f) is f of them, merged."""
+        kinds = over(lambda x, y: {("+", "n"): len(x), ("+", "x"): x.sum(0), ("+", "xx"): (x**2).sum(0), ("+", "good"): int((y == 1).sum())})
+        n, good = kinds.get(("+", "n"), 0), kinds.get(("+", "good"), 0)
+        bad = n - good
+        self._start(n, kinds.get(("+", "x")), kinds.get(("+", "xx")), good)
+        if not good or not bad:
+            return
+        size = len(FEATURES)
+
+        def step(w: np.ndarray):
+            def bins(x, y):
+                """Rows, their score, features and products of features, summed by label and bin of scores."""
+                z = self._z(x)
+                s = z @ w
+                at = np.floor(s / WIDTH).astype(np.int64) * 2 + (y == 1)
+                order = np.argsort(at, kind="stable")
+                keys, start = np.unique(at[order], return_index=True)
+                z = z[order]
+                rows = np.concatenate((np.ones((len(z), 1)), s[order][:, None], z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)), axis=1)
+                return {("+", k): v for k, v in zip(keys.tolist(), np.add.reduceat(rows, start), strict=True)}
+
+            found = over(bins)
+            side = [np.array([v for k, v in sorted(found.items()) if k[1] % 2 == label]) for label in (1, 0)]
+            (gn, gs, gz, gzz), (bn, bs, bz, bzz) = ((v[:, 0], v[:, 1] / v[:, 0], v[:, 2 : 2 + size], v[:, 2 + size :]) for v in side)
+            p = 1 / (1 + np.exp(-np.clip(gs[:, None] - bs, -30, 30)))
+            q, both = p * (1 - p), gz.T @ (p * (1 - p)) @ bz
+            slope = gz.T @ ((1 - p) @ bn) - bz.T @ (gn @ (1 - p))
+            curve = (gzz.T @ (q @ bn) + bzz.T @ (gn @ q)).reshape(size, size) - both - both.T
+            return slope * FIT_PAIRS / good / bad, curve * FIT_PAIRS / good / bad
+
+        self._climb(step, ridge)
+        self._place(over, n, bad)
+
+    def _place(self, over: Callable, n: int, bad: int) -> None:
+        """The quantile of all scores that leaves the share of good documents above it, midway between its neighbours, and their spread."""
+        score = lambda x: self._z(x) @ self.w
+        found = over(lambda x, y: {("+", "s"): score(x).sum(), ("+", "ss"): (score(x) ** 2).sum(), ("<", "s"): score(x).min(), (">", "s"): score(x).max()})
+        self.scale = float(math.sqrt(max(found["+", "ss"] / n - (found["+", "s"] / n) ** 2, 0)) + 1e-9) / 2
+        low, high, held = found["<", "s"], found[">", "s"], n
+        k = min(max(bad, 1), n - 1)
+        first, last = k - 1, k  # ranks among the scores from low to high
+        while held > FEW and high > low:
+
+            def steps(x, y, low=low, high=high):
+                s = score(x)
+                s = s[(s >= low) & (s <= high)]
+                at = np.minimum(((s - low) / (high - low) * STEPS).astype(np.int64), STEPS - 1)
+                least, most = np.full(STEPS, np.inf), np.full(STEPS, -np.inf)
+                np.minimum.at(least, at, s)
+                np.maximum.at(most, at, s)
+                return {("+", "n"): np.bincount(at, minlength=STEPS), ("<", "s"): least, (">", "s"): most}
+
+            found = over(steps)
+            upto = np.cumsum(found["+", "n"])
+            i, j = (int(np.searchsorted(upto, r, "right")) for r in (first, last))
+            before, now = int(upto[i] - found["+", "n"][i]), int(upto[j] - upto[i] + found["+", "n"][i])
+            first, last = first - before, last - before
+            if (low, high) == (found["<", "s"][i], found[">", "s"][j]):
+                break
+            low, high, held = found["<", "s"][i], found[">", "s"][j], now
+
+        def values(x, y):
+            s = score(x)
+            return {("+", v): c for v, c in zip(*(a.tolist() for a in np.unique(s[(s >= low) & (s <= high)], return_counts=True)), strict=True)}
+
+        found = sorted((v, c) for (_, v), c in over(values).items())
+        upto = np.cumsum([c for _, c in found])
+        at = [found[min(int(np.searchsorted(upto, r, "right")), len(found) - 1)][0] for r in (first, last)]
+        self.cut = float(sum(at)) / 2
 
     def _z(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -6, 6)
@@ -91,23 +209,19 @@ def describe_all(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, x array<double>")
 
 
-def fit(described: DataFrame, labels: DataFrame, label: str = "quality", limit: int = FIT_ROWS) -> BradleyTerry:
-    """Fits on at most limit labelled rows, the first by hash of id; the bound is this parameter. Of labels that contradict each other the least counts."""
+def fit(described: DataFrame, labels: DataFrame, label: str = "quality") -> BradleyTerry:
+    """Fits on every labelled row. Of labels that contradict each other the least counts."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("y is not null and id is not null").groupBy("id").agg(F.min("y").alias("y"))
-    # A hash threshold makes the sample of about 0.9 * limit rows before anything is gathered; the limit only guards it.
-    part = min(1.0, 0.9 * limit / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = described.join(known, "id").select("id", "x", "y").orderBy(F.xxhash64("id"), "id").limit(limit).collect()
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return BradleyTerry(x, np.array([r["y"] for r in rows], int))
+    return BradleyTerry.over(stage(described.join(known, "id").select("x", "y"), "labelled"))
 
 
 def rank(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, score and predicted for every row of docs; labels has doc_id and quality (1: good).
 
-    Only the text enters a score. Pairs of a good and a bad labelled document are preferences; the
+    Only the text enters a score. All pairs of a good and a bad labelled document are preferences; the
     logistic loss on their feature differences gives the weights, and the score is the logistic of
-    the distance from the quantile of fitted scores that the good share leaves above. Null, empty
+    the distance from the quantile of fitted scores that the good share leaves above. Nothing is
+    drawn: sums by bin of scores stand for the pairs, and the quantile is of all labelled documents. Null, empty
     and wordless texts are scored on zero features; with no labels of one kind every score is 0.5.
     A score of exactly 0.5 predicts 1. Repeated rows score alike, texts count whole, other columns
     are ignored, and an empty table gives no rows."""
